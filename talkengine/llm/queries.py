@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.runtime import load
-from . import copies, families, nearest, overlaps
+from ..plans.runtime import load, written
+from . import copies, families, mixing, nearest, overlaps, packing, tokens
 
 
 def _copy_records(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
     """One row per distinct record: table, kept id, number of copies."""
-    return copies.counted(copies.written(_copy_records(spark, d), "canonical")).select(F.col("grp").alias("table_name"), "kept_id", "n_copies")
+    return copies.counted(written(_copy_records(spark, d), "canonical")).select(F.col("grp").alias("table_name"), "kept_id", "n_copies")
 
 
 def _anchor(c: str) -> F.Column:
@@ -55,7 +55,7 @@ def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
     """(id, family, split): a split for every record of corpus, pairs and splits, one per family."""
     known = _family_labels(spark, d).where("id is not null").select("id", "root")
     rows = known.join(_splits(spark, d).select("id"), "id", "full_outer").select("id", F.coalesce("root", F.concat(F.lit("r:"), "id")).alias("root"))
-    rows = families.written(rows, "records")
+    rows = written(rows, "records")
     dealt = families.deal(rows.groupBy("root").agg(F.count("*").alias("size")))
     return rows.join(dealt.select("root", "split"), "root").select("id", F.col("root").alias("family"), "split")
 
@@ -92,7 +92,46 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.report(overlaps.overlaps(_split_records(spark, d)))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(load(spark, d, "documents"), "doc_id", "text", {"source": "source"})
+
+
+def _capacities(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r[0]: int(r[1]) for r in load(spark, d, "container_sizes").select("container_name", "capacity_tokens").collect()}
+
+
+def _named(packed: DataFrame) -> DataFrame:
+    return packed.select("container_name", F.col("id").alias("doc_id"), "piece", "start_token", "n_tokens", "container_id", "step_group")
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of each text (or piece of a text over the capacity), for each capacity."""
+    sizes = written(_sizes(spark, d), "sizes")
+    return _named(packing.pack(sizes, _capacities(spark, d)))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The fill of each container, for each capacity."""
+    return packing.fills(packing.pack(written(_sizes(spark, d), "sizes"), _capacities(spark, d)))
+
+
+def p7_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """One packing with windows of all capacities: each text in its own tier or in a gap of a longer one."""
+    return _named(packing.pack_tiers(written(_sizes(spark, d), "sizes"), _capacities(spark, d)))
+
+
+def p8_uses(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn, with the number of uses."""
+    return mixing.mix(_sizes(spark, d), load(spark, d, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    targets = load(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(_sizes(spark, d), targets), targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_records, p3_found, p3_assignment, p4_found, p4_groups, p6_found, p6_report)
+    f.__name__: f for f in (p1_found, p1_records, p3_found, p3_assignment, p4_found, p4_groups, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares)
 }
 SQL: dict[str, str] = {}
