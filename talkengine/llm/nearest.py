@@ -1,16 +1,16 @@
 """Near-duplicate records: a MinHash LSH forest over word sets with exact verification.
 
-Texts become sets of distinct words; equal sets form one class with one representative, so copies never meet pair
-by pair. Each tree of the forest is a sorted trie of the representatives' MinHash signatures: representatives under
-the same prefix of ``depth`` values are candidates. The search starts at ``depth`` one longer than the prefix that
+Texts become sets of distinct words; equal sets form one class, which a task puts into the forest once however many
+copies it reads, so copies never meet pair by pair. Each tree of the forest is a sorted trie of the classes' MinHash signatures: classes under the same prefix of
+``depth`` values are candidates. The search starts at ``depth`` one longer than the prefix that
 guarantees the target recall at the threshold itself; after verification the recall reached is estimated from the
 similarities of the links found (each link stands for 1 / P(found) links), and prefixes are shortened until the
 estimate meets the target, at the latest at the guaranteed depth.
 
 Candidates first pass a lossless test: sets of a and b words with similarity s or more differ in at most
 (a + b)(1 - s)/(1 + s) words, and their parity sketches in at most as many bits. What is left is verified exactly on
-the word sets. The trie lookup is an equi-join on the prefix; adaptive execution splits a hot prefix. No bucket, no
-candidate list and no partner list is capped.
+the word sets. The trie lookup is an equi-join on the prefix that moves three numbers per class and tree; adaptive
+execution splits a hot prefix. Words move for candidates only. No bucket, candidate list or partner list is capped.
 
 Defined results: rows without id or text take no part, nor do texts with fewer than ``min_words`` distinct words;
 a repeated id counts once; an empty table gives empty results; whole texts are read, whatever their length.
@@ -23,21 +23,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import written
 from .families import spanning_forest
-from .words import WordHashes, digest, parity_sketch, words
+from .words import WordHashes, parity_sketch, words
 
-_PARITY_BITS = 8
+_SIZE_BITS = 8
+_SEEN = 1_000_000
+#: The candidate classes are broadcast up to this many rows of 8 bytes; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 @dataclass(frozen=True)
 class Forest:
     threshold: float = 0.8
     min_words: int = 8
-    trees: int = 10
-    target_recall: float = 0.998
+    trees: int = 14
+    target_recall: float = 0.9995
     seed: int = 11
 
     def found(self, similarity: float, depth: int) -> float:
@@ -53,21 +57,23 @@ class Forest:
 def _word_sets(min_words: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            ids, texts, digests = [], [], []
             for i, text in zip(b["id"], b["text"]):
                 own = set(words(text))
                 if len(own) >= min_words:
-                    joined = " ".join(sorted(own))
-                    out.append((i, *digest(joined), len(own), joined))
-            yield pd.DataFrame(out, columns=["id", "h", "g", "n", "words"]).astype({"h": "int64", "g": "int64", "n": "int32"})
+                    ids.append(i)
+                    texts.append(" ".join(sorted(own)))
+                    digests.append(xxhash.xxh3_128_digest(texts[-1]))
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "h": both[:, 0], "g": both[:, 1], "words": pd.Series(texts, dtype=object)})
 
     return run
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, h, g, n, words): the sorted distinct words of each text and 128 bits of their hash."""
+    """(id, h, g, words): the sorted distinct words of each text and 128 bits of their hash."""
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    return rows.mapInPandas(_word_sets(min_words), "id string, h long, g long, n int, words string")
+    return rows.mapInPandas(_word_sets(min_words), "id string, h long, g long, words string")
 
 
 def _prefixes(forest: Forest, depth: int):
@@ -76,15 +82,20 @@ def _prefixes(forest: Forest, depth: int):
     mixers = rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for b in batches:
+            b = b.drop_duplicates("h")
+            b = b[[h not in seen for h in b["h"]]]
             if not len(b):
                 continue
+            if len(seen) > _SEEN:
+                seen.clear()
+            seen.update(b["h"])
             sets = [w.split(" ") for w in b["words"]]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             flat = np.fromiter((known[w] for s in sets for w in s), np.uint64, int(sizes.sum()))
-            sketch = (parity_sketch(flat, starts) & ~np.uint64(2**_PARITY_BITS - 1)) | np.minimum(sizes, 255).astype(np.uint64)
+            sketch = (parity_sketch(flat, starts) & ~np.uint64(2**_SIZE_BITS - 1)) | np.minimum(sizes, 255).astype(np.uint64)
             keys = np.empty((len(sets), forest.trees), np.uint64)
             for t in range(forest.trees):
                 key = np.full(len(sets), t, np.uint64)
@@ -100,31 +111,36 @@ def _prefixes(forest: Forest, depth: int):
     return run
 
 
-def _candidates(reps: DataFrame, forest: Forest, depth: int) -> DataFrame:
-    signed = reps.select("h", "words").mapInPandas(_prefixes(forest, depth), "h long, sketch long, keys array<long>")
+def _candidates(sets: DataFrame, forest: Forest, depth: int) -> DataFrame:
+    signed = sets.select("h", "words").mapInPandas(_prefixes(forest, depth), "h long, sketch long, keys array<long>")
     rows = signed.select(F.explode("keys").alias("key"), "h", "sketch")
     x, y = rows.alias("x"), rows.alias("y")
-    low = F.lit(2**_PARITY_BITS - 1).cast("long")
+    low = F.lit(2**_SIZE_BITS - 1).cast("long")
     m, n = F.col("x.sketch").bitwiseAND(low), F.col("y.sketch").bitwiseAND(low)
-    differ = F.bit_count(F.shiftrightunsigned(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")), _PARITY_BITS))
+    differ = F.bit_count(F.shiftrightunsigned(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")), _SIZE_BITS))
     slack = (1 - forest.threshold) / (1 + forest.threshold)
     near = (F.col("x.h") < F.col("y.h")) & ((differ <= (m + n) * F.lit(slack) + F.lit(1e-9)) | (m == low) | (n == low))
     return x.join(y, (F.col("x.key") == F.col("y.key")) & near).select(F.col("x.h").alias("h"), F.col("y.h").alias("k")).distinct()
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    left = reps.select("h", F.col("g").alias("hg"), F.split("words", " ").alias("v"))
-    right = reps.select(F.col("h").alias("k"), F.col("g").alias("kg"), F.split("words", " ").alias("w"))
-    both = pairs.join(left, "h").join(right, "k").withColumn("shared", F.size(F.array_intersect("v", "w")))
-    sim = F.col("shared") / (F.size("v") + F.size("w") - F.col("shared"))
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    pairs = written(pairs, "candidates")
+    ends = pairs.select("h").union(pairs.select("k")).distinct()
+    ends = F.broadcast(ends) if pairs.count() <= BROADCAST_ROWS // 2 else ends
+    some = written(sets.select("h", "g", "words").join(ends, "h", "left_semi").dropDuplicates(["h", "g"]), "candidate-words")
+    left = some.select("h", F.col("g").alias("hg"), F.col("words").alias("v"))
+    right = some.select(F.col("h").alias("k"), F.col("g").alias("kg"), F.col("words").alias("w"))
+    v, w = F.split("v", " "), F.split("w", " ")
+    both = pairs.join(left, "h").join(right, "k").select("h", "hg", "k", "kg", F.size(F.array_intersect(v, w)).alias("shared"), (F.size(v) + F.size(w)).alias("total"))
+    sim = F.col("shared") / (F.col("total") - F.col("shared"))
     return both.select("h", "hg", "k", "kg", sim.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def links(reps: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """(h, hg, k, kg, similarity) between the representatives (h, g, n, words) of different word sets."""
+def links(sets: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """(h, hg, k, kg, similarity) between different word sets, from (h, g, words) with any number of rows per set."""
     floor = forest.safe_depth()
     for depth in (floor + 1, floor):
-        found = written(_verified(_candidates(reps, forest, depth), reps, forest.threshold), "links")
+        found = written(_verified(_candidates(sets, forest, depth), sets, forest.threshold), "links")
         seen = F.lit(1.0) - F.pow(F.lit(1.0) - F.pow("similarity", F.lit(depth)), F.lit(forest.trees))
         n, expected = found.agg(F.count("*"), F.sum(1.0 / seen)).first()
         if not n or n / expected >= forest.target_recall:
@@ -135,14 +151,13 @@ def links(reps: DataFrame, forest: Forest = Forest()) -> DataFrame:
 @dataclass
 class NearDuplicates:
     members: DataFrame  #: (id, h, g): the class of each record
-    classes: DataFrame  #: (h, g, n, words)
     links: DataFrame  #: (h, hg, k, kg, similarity)
 
 
 def near_duplicates(records: DataFrame, id_col: str = "id", text_col: str = "text", forest: Forest = Forest()) -> NearDuplicates:
     sets = written(word_sets(records, id_col, text_col, forest.min_words), "sets")
-    classes = written(sets.groupBy("h", "g").agg(F.first("n").alias("n"), F.first("words").alias("words")), "classes")
-    return NearDuplicates(sets.select("id", "h", "g").distinct(), classes, links(classes, forest))
+    members = sets.select("id", "h", "g").repartition("h", "g").dropDuplicates(["h", "g", "id"])
+    return NearDuplicates(members, links(sets, forest))
 
 
 def pairs(found: NearDuplicates) -> DataFrame:
