@@ -2,8 +2,8 @@
 
 The distinct texts of the evaluation splits are dealt to shards of bounded size; each shard becomes a compressed
 full-text index over words (suffix array, Burrows-Wheeler symbol lists, zstd) in the shared folder. Training records
-stream through every shard in blocks: backward search from each word yields the interval of equal word runs, which is
-extended to the left until the run is ``full`` words long, or ``short`` words and at most ``rare`` occurrences. Runs
+stream through every shard in blocks: the last ``short`` words before each position give a first interval from a jump
+table, which backward search extends to the left until the run is ``full`` words long or occurs at most ``rare`` times. Runs
 on one diagonal merge to maximal matches, these to spans; a pair (training record, evaluation text) with a span
 becomes a candidate. Each text starts with one more symbol, the hash of its folded text, so that texts that differ
 in spacing only also match. Candidates pass the lossless sketch bound, then the exact word-set similarity.
@@ -26,15 +26,17 @@ import io
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import fresh_path, written
-from .words import WordHashes, digest, folded, words
+from .words import WordHashes, parity_sketch, words
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ class Search:
     min_words: int = 8
     full: int = 7
     short: int = 4
-    rare: int = 48
+    rare: int = 16
     shard_words: int = 4_000_000
     block: int = 60_000
     hits: int = 2_000_000
@@ -62,17 +64,24 @@ def _tokens(min_words: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for b in batches:
-            out = []
-            for i, source, split, text in zip(b["id"], b["source"], b["split"], b["text"]):
+            at, texts, digests, folds, sizes, flat = [], [], [], [], [], []
+            for k, text in enumerate(b["text"]):
                 run = words(text)
                 own = set(run)
                 if len(own) >= min_words:
-                    joined, sketch = " ".join(run), 0
-                    for w in own:
-                        sketch ^= 1 << (known[w] >> 58)
-                    out.append((i, source, split, *digest(joined), digest(folded(text))[0], sketch - 2**64 if sketch >> 63 else sketch, len(own), joined))
-            kinds = {"h": "int64", "g": "int64", "fold": "int64", "sketch": "int64", "n": "int32"}
-            yield pd.DataFrame(out, columns=["id", "source", "split", "h", "g", "fold", "sketch", "n", "words"]).astype(kinds)
+                    at.append(k)
+                    texts.append(" ".join(run))
+                    digests.append(xxhash.xxh3_128_digest(texts[-1]))
+                    folds.append(xxhash.xxh3_64_digest("".join(run)))
+                    sizes.append(len(own))
+                    flat += [known[w] for w in own]
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if sizes else np.empty(0, np.int64)
+            both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            out = b[["id", "source", "split"]].iloc[at].reset_index(drop=True)
+            yield out.assign(
+                h=both[:, 0], g=both[:, 1], fold=np.frombuffer(b"".join(folds), np.int64),
+                sketch=parity_sketch(np.array(flat, np.uint64), starts).view(np.int64), n=np.array(sizes, np.int32), words=texts,
+            )
 
     return run
 
@@ -103,6 +112,20 @@ def _suffix_array(symbols: np.ndarray) -> np.ndarray:
         k *= 2
 
 
+def _run_codes(symbols: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of the run of ``length`` symbols from each position on; 0 where one of them is not positive."""
+    n = len(symbols)
+    factor = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64)
+    code, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(length):
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - k)] = symbols[k:]
+        code = (code + ahead.view(np.uint64)) * factor
+        code ^= code >> np.uint64(29)
+        ok &= ahead > 0
+    return np.where(ok, code | np.uint64(1), np.uint64(0))
+
+
 class Index:
     """Backward search over the texts of one shard; symbol 0 separates texts, the symbol after it is the folded hash."""
 
@@ -115,6 +138,20 @@ class Index:
         # ascending rows of each symbol in the transform; symbol * n + row makes one sorted array of them
         self.rows = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * self.n + occurrences
 
+    def jump(self, short: int) -> None:
+        """The interval of every run of ``short`` symbols within a text, by a hash that is free of collisions here."""
+        for seed in range(1, 100):
+            codes = _run_codes(self.symbols, short, seed)[self.suffixes]
+            at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
+            till = np.concatenate([at[1:], [len(codes)]]) if len(at) else at
+            valid = codes[at] != 0
+            order = np.argsort(codes[at][valid], kind="stable")
+            self.jump_codes = codes[at][valid][order]
+            if not (self.jump_codes[1:] == self.jump_codes[:-1]).any():
+                self.jump_low, self.jump_high, self.jump_seed, self.short = at[valid][order], till[valid][order], seed, short
+                return
+        raise ValueError("no seed without collisions")
+
     @classmethod
     def build(cls, texts: list[str], folds: np.ndarray, doc: dict[str, np.ndarray]) -> "Index":
         ids: dict[str, int] = {}
@@ -150,14 +187,20 @@ class Index:
     def runs(self, queries: np.ndarray, full: int, short: int, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(end, low, high, length): for each end position in ``queries`` the accepted run of equal symbols before it.
 
-        Unknown symbols and separators are negative and end every run.
+        Unknown symbols and separators are not positive and end every run.
         """
-        end = np.flatnonzero(queries > 0)
-        sym = queries[end]
-        low, high = self.first[sym], self.first[sym + 1]
+        if getattr(self, "short", None) != short:
+            self.jump(short)
         out: list[tuple[np.ndarray, ...]] = []
-        for length in range(1, full + 1):
-            if length > 1:
+        codes = _run_codes(queries, short, self.jump_seed)
+        first = np.flatnonzero(codes)
+        spot = np.searchsorted(self.jump_codes, codes[first])
+        spot[spot == len(self.jump_codes)] = 0
+        hit = self.jump_codes[spot] == codes[first] if len(self.jump_codes) else np.zeros(len(first), bool)
+        first, spot = first[hit], spot[hit]
+        end, low, high = first + short - 1, self.jump_low[spot], self.jump_high[spot]
+        for length in range(short, full + 1):
+            if length > short:
                 pos = end - (length - 1)
                 prev = np.where(pos >= 0, queries[pos], -1)
                 keep = prev > 0
@@ -165,12 +208,7 @@ class Index:
                 low, high = np.searchsorted(self.rows, base + low), np.searchsorted(self.rows, base + high)
                 keep = high > low
                 end, low, high = end[keep], low[keep], high[keep]
-            if length == full:
-                done = np.ones(len(end), bool)
-            elif length >= short:
-                done = high - low <= rare
-            else:
-                continue
+            done = (high - low <= rare) | (length == full)
             if done.any():
                 out.append((end[done], low[done], high[done], np.full(int(done.sum()), length)))
                 end, low, high = end[~done], low[~done], high[~done]
@@ -216,6 +254,7 @@ def build_index(evaluation: DataFrame, search: Search) -> tuple[str, int]:
 # ---------------------------------------------------------------- search
 
 
+@lru_cache(maxsize=1)
 def _read_shard(folder: str, shard: int) -> Index | None:
     fs, path = _filesystem(f"{folder}/{shard}.idx")
     if fs.get_file_info(path).type == pafs.FileType.NotFound:  # no text was dealt to it
@@ -300,8 +339,6 @@ def _match_block(index: Index, block: Block, search: Search) -> list[tuple]:
 
 def _stream(folder: str, shards: int, search: Search):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        opened: tuple[int, Index | None] = (-1, None)
-
         def blocks() -> Iterator[pd.DataFrame]:
             held, size = [], 0
             for b in batches:
@@ -316,10 +353,9 @@ def _stream(folder: str, shards: int, search: Search):
         for b in blocks():
             block = Block(b)
             for shard in range(shards):
-                if opened[0] != shard:
-                    opened = (shard, _read_shard(folder, shard))
-                if opened[1] is not None:
-                    rows = _match_block(opened[1], block, search)
+                index = _read_shard(folder, shard)
+                if index is not None:
+                    rows = _match_block(index, block, search)
                     yield pd.DataFrame(rows, columns=["train_id", "h", "g", "matched_words", "spans", "similarity"]).astype({"h": "int64", "g": "int64"})
 
     return run

@@ -14,7 +14,9 @@ import xxhash
 
 _RUN = re.compile(r"[^\W_]+")
 _GAP = re.compile(r"[\W_]+")
-_APOSTROPHES = dict.fromkeys(map(ord, "'’‘ʼ`´"))
+_APOSTROPHES = dict.fromkeys(map(ord, "'’‘ʼ"))
+#: What each ASCII byte becomes: letters lower case, digits themselves, everything else a blank.
+_ASCII = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
 
 def normal(text: str) -> str:
@@ -22,7 +24,12 @@ def normal(text: str) -> str:
 
 
 def words(text: str | None) -> list[str]:
-    return _RUN.findall(normal(text).translate(_APOSTROPHES)) if text else []
+    """The words of a text in order; their concatenation is its folded text."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode("ascii").translate(_ASCII, b"'").decode("ascii").split()
+    return _RUN.findall(normal(text).translate(_APOSTROPHES))
 
 
 def folded(text: str | None) -> str:
@@ -41,12 +48,6 @@ class WordHashes(dict):
         return value
 
 
-def digest(text: str) -> tuple[int, int]:
-    """128 bits of ``text`` as two signed 64-bit numbers."""
-    both = xxhash.xxh3_128_digest(text)
-    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
-
-
 def parity_sketch(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each set of distinct word hashes the XOR of one bit per word.
 
