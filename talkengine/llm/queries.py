@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.runtime import load, written
-from . import copies, families, mixing, nearest, overlaps, packing, tokens
+from . import copies, defects, families, mixing, nearest, overlaps, packing, spam, tokens
 
 
 def _copy_records(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,19 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.counted(written(_copy_records(spark, d), "canonical")).select(F.col("grp").alias("table_name"), "kept_id", "n_copies")
 
 
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return defects.judged(load(spark, d, "pairs"), "pair_id", "anchor_text", "variant_text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _defects(spark, d).where("defect is not null").select(F.col("id").alias("pair_id"), "defect")
+
+
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each response by tag, and the defect."""
+    return _defects(spark, d).withColumnRenamed("id", "pair_id")
+
+
 def _anchor(c: str) -> F.Column:
     trimmed = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
     return F.when(trimmed != "", trimmed)
@@ -131,7 +144,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(_sizes(spark, d), targets), targets)
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Words by kind, recurrence and autocorrelation of every document."""
+    return spam.scored(load(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("spam").select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_records, p3_found, p3_assignment, p4_found, p4_groups, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares)
+    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_coverage, p3_found, p3_assignment, p4_found, p4_groups, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares, p9_found, p9_scores)
 }
 SQL: dict[str, str] = {}
