@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.runtime import load, written
-from . import copies, defects, families, mixing, nearest, overlaps, packing, spam, tokens
+from . import copies, defects, families, mixing, nearest, overlaps, packing, pii, spam, tokens
 
 
 def _copy_records(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +87,29 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearest.groups(nearest.near_duplicates(_texts(spark, d)))
 
 
+def _utterances(spark: SparkSession, d: str) -> DataFrame:
+    corpus = load(spark, d, "corpus").select(F.col("utt_id").alias("id"), F.col("utterance").alias("text"))
+    return corpus.union(load(spark, d, "negatives").select("neg_id", "text"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with typed placeholders, and the types found."""
+    return pii.redacted(_utterances(spark, d), "id", "text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_redacted(spark, d).select("id", F.explode("pii_types").alias("pii_type"))
+
+
+#: The key of the registered query; a production run passes its own secret.
+_KEY = b"talkengine"
+
+
+def p5_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with keyed surrogates in place of what is personal."""
+    return pii.surrogates(_utterances(spark, d), "id", "text", _KEY)
+
+
 def _split_records(spark: SparkSession, d: str) -> DataFrame:
     texts = (
         load(spark, d, "corpus").select(F.col("utt_id").alias("id"), "source", F.col("utterance").alias("text"))
@@ -154,6 +177,6 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_coverage, p3_found, p3_assignment, p4_found, p4_groups, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares, p9_found, p9_scores)
+    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_coverage, p3_found, p3_assignment, p4_found, p4_groups, p5_found, p5_redacted, p5_surrogates, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares, p9_found, p9_scores)
 }
 SQL: dict[str, str] = {}
