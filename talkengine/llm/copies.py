@@ -67,12 +67,12 @@ def longer(length: int) -> int:
     return 2 * length or 4
 
 
-def oversized_prefixes(records: DataFrame, capacity: int = CAPACITY) -> set[tuple[str, bytes]]:
-    """The prefixes that must be split further. At most rows / capacity of them per level, so they fit the driver.
+def oversized_prefixes(records: DataFrame, capacity: int = CAPACITY) -> set[tuple[str, int, bytes]]:
+    """(group, length, prefix) of the buckets that must be split further. At most rows / capacity of them per level, so they fit the driver.
 
     A bucket of one string can't be split by any byte and needs none: its counts are summed before they move.
     """
-    found: set[tuple[str, bytes]] = set()
+    found: set[tuple[str, int, bytes]] = set()
     rest, length = records, 0
     while True:
         prefix = F.substring("canon", 1, length) if length else F.lit(b"")
@@ -83,7 +83,7 @@ def oversized_prefixes(records: DataFrame, capacity: int = CAPACITY) -> set[tupl
         level = [(r["grp"], bytes(r["prefix"])) for r in over.collect()]
         if not level:
             return found
-        found |= set(level)
+        found |= {(g, length, p) for g, p in level}
         keep = records.sparkSession.createDataFrame([(g, bytearray(p)) for g, p in level], "grp string, prefix binary")
         rest = records.withColumn("prefix", prefix).join(F.broadcast(keep), ["grp", "prefix"], "left_semi").select("grp", "canon")
         length = longer(length)
@@ -114,14 +114,14 @@ class Trie:
                     stack.append((path + part, below))
 
 
-def _partial_counts(split: set[tuple[str, bytes]]):
+def _partial_counts(split: set[tuple[str, int, bytes]]):
     def partial(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sums = b.groupby(["grp", "canon"], sort=False)["id"].agg(["size", "min"]).reset_index()
             buckets = []
             for g, c in zip(sums["grp"], sums["canon"]):
                 length = 0
-                while (g, c[:length]) in split:
+                while (g, length, c[:length]) in split:
                     length = longer(length)
                 buckets.append(c[:length])
             yield pd.DataFrame({"grp": sums["grp"], "bucket": buckets, "canon": sums["canon"], "n": sums["size"], "least": sums["min"]})

@@ -100,6 +100,8 @@ class Model:
     end_slots: int = 2**20
     rounds: int = 400
     echo_words: float = 0.8
+    own_words: float = 0.08
+    lead_in: int = 8
     foreign_words: float = 0.6
 
 
@@ -322,11 +324,11 @@ class Reader:
         out.append(f"end:two:four:{rates[1]}:{rates[2]}")
         return out
 
-    def read(self, prompt: str | None, reply: str) -> tuple[list[int], list[list[str]]]:
-        """(words per clause, features per clause)."""
+    def read(self, prompt: str | None, reply: str) -> tuple[list[int], list[int], list[list[str]]]:
+        """(words per clause, those that are not in the prompt, features per clause)."""
         seen, parts = self.prompt(prompt), clauses(reply)
         runs = [words(c) for c in parts]
-        return [len(r) for r in runs], [self.clause(c, r, seen, k == 0, k == len(parts) - 1) for k, (c, r) in enumerate(zip(parts, runs))]
+        return [len(r) for r in runs], [sum(w not in seen[0] for w in r) for r in runs], [self.clause(c, r, seen, k == 0, k == len(parts) - 1) for k, (c, r) in enumerate(zip(parts, runs))]
 
 
 # ---------------------------------------------------------------- the random field
@@ -483,7 +485,7 @@ def examples(prompts: list[str], reader: Reader, seed: int) -> list[tuple[list[l
     pool = [w for p in usable[:200] for w in p.split()]
 
     def add(prompt: str, reply: str, label) -> None:
-        sizes, feats = reader.read(prompt, reply)
+        _, _, feats = reader.read(prompt, reply)
         if feats and len(feats) <= 14:
             tags = label(len(feats)) if callable(label) else [TAGS.index(label)] * len(feats)
             out.append((feats, tags))
@@ -546,16 +548,22 @@ def stands_in(reply: str | None) -> bool:
     return not run or "".join(run) in _STAND_INS
 
 
-def defect(sizes: list[int], tags: list[int], model: Model = Model()) -> str | None:
-    """The defect that the clause coverage shows, or None."""
+def defect(sizes: list[int], own: list[int], tags: list[int], model: Model = Model()) -> str | None:
+    """The defect that the clause coverage shows, or None; ``own`` counts the words that are not in the prompt.
+
+    A copy is an echo with next to nothing of its own; a short lead-in before it does not count.
+    """
     total = sum(sizes)
     by = [sum(n for n, t in zip(sizes, tags) if t == k) for k in range(len(TAGS))]
     if by[1]:
         return "refusal"
     if by[3] >= model.foreign_words * total:
         return "other_language"
-    if by[2] >= model.echo_words * total:
-        return "anchor_copy"
+    if by[2]:
+        first = tags.index(2)
+        skip = first if sum(sizes[:first]) <= model.lead_in else 0
+        if by[2] >= model.echo_words * total or by[2] >= 0.5 * total and sum(own[skip:]) <= max(1, model.own_words * total):
+            return "anchor_copy"
     return "truncated" if tags[-1] == 4 else None
 
 
@@ -576,9 +584,9 @@ def _tagged(lang: Language, field: Field, model: Model):
                 if stands_in(reply):
                     rows.append((i, "empty", 0, 0, 0, 0, 0))
                     continue
-                sizes, feats = reader.read(prompt, reply)
+                sizes, own, feats = reader.read(prompt, reply)
                 tags = field.tags(feats)
-                rows.append((i, defect(sizes, tags, model), *(sum(n for n, t in zip(sizes, tags) if t == k) for k in range(len(TAGS)))))
+                rows.append((i, defect(sizes, own, tags, model), *(sum(n for n, t in zip(sizes, tags) if t == k) for k in range(len(TAGS)))))
             yield pd.DataFrame(rows, columns=["id", "defect", *(f"{t}_words" for t in TAGS)])
 
     return run

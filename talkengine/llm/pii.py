@@ -255,7 +255,7 @@ def detect(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
         while last + 1 < len(tokens):
             gap, after = text[tokens[last][1] : tokens[last + 1][0]], tokens[last + 1][2]
             initial = len(after) == 1 and after.isalpha() and gap.strip() == "" and text[tokens[last + 1][1] : tokens[last + 1][1] + 1] == "."
-            joined = gap.strip() in ("", ",", ".") and len(gap) <= 2 and may_extend(last + 1) and (gap.strip() == "" or known(after)) and (gap.strip() != "." or len(tokens[last][2]) == 1)
+            joined = gap.strip() in ("", ",", ".") and len(gap) <= 2 and may_extend(last + 1) and (gap.strip() == "" or known(after) or gap.strip() == ".") and (gap.strip() != "." or len(tokens[last][2]) == 1)
             if not (initial or joined):
                 break
             last += 1
