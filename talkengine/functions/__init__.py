@@ -1 +1 @@
-
+"""Column expressions: JVM-side scalars over text, arrays and scores. None of them reads data."""

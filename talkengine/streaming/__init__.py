@@ -1 +1 @@
-
+"""Structured Streaming: incremental, resumable scoring."""
