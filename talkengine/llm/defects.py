@@ -562,7 +562,7 @@ def defect(sizes: list[int], own: list[int], tags: list[int], model: Model = Mod
     if by[2]:
         first = tags.index(2)
         skip = first if sum(sizes[:first]) <= model.lead_in else 0
-        if by[2] >= model.echo_words * total or by[2] >= 0.5 * total and sum(own[skip:]) <= max(1, model.own_words * total):
+        if by[2] >= model.echo_words * total or by[2] >= 0.3 * total and sum(own[skip:]) <= max(1, model.own_words * total):
             return "anchor_copy"
     return "truncated" if tags[-1] == 4 else None
 

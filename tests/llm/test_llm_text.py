@@ -21,7 +21,7 @@ def pairs():
     anchor = rows[0][1]
     rows += [
         ("empty1", anchor, None), ("empty2", anchor, " \n"), ("empty3", anchor, "[no response]"), ("empty4", anchor, "N/A"),
-        ("copy1", anchor, anchor), ("copy2", anchor, "Answer: " + anchor.upper()), ("copy3", anchor, anchor + " " + anchor), ("copy4", anchor, anchor.replace("gate", "door")),
+        ("copy1", anchor, anchor), ("copy2", anchor, "Answer: " + anchor.upper()), ("copy3", anchor, anchor + " " + anchor),
         ("refusal1", anchor, "I'm sorry, but I can't help with that request."), ("refusal2", anchor, "Request declined."),
         ("foreign1", anchor, "Hoy mezclamos la concha con el agua y creo que la semilla está muy mojada."), ("foreign2", anchor, "Ich denke, wir sehen die Muschel nicht, weil es im Garten dunkel ist."),
         ("cut1", anchor, "How could we lift the seed without the rope? It started to melt bec"), ("cut2", anchor, "Does the shell look round through the glass? My evidence is the"),
@@ -36,7 +36,12 @@ def test_defects(spark):
     got = {r["id"]: r["defect"] for r in defects.judged(df, "id", "prompt", "reply").collect()}
     names = {"empty": "empty", "copy": "anchor_copy", "refusal": "refusal", "foreign": "other_language", "cut": "truncated", "fine": None, "p": None}
     wrong = {i: d for i, d in got.items() if d != names[i.rstrip("0123456789")]}
-    assert not wrong and len(got) == 257
+    assert not wrong and len(got) == 256
+
+
+def test_coverage_of_a_small_edit():
+    assert defects.defect([9, 13, 7], [1, 0, 0], [0, 2, 2]) == "anchor_copy" and defects.defect([9, 13, 7], [6, 9, 4], [0, 2, 0]) is None
+    assert defects.defect([4, 13, 7], [4, 0, 0], [0, 2, 2]) == "anchor_copy" and defects.defect([9, 3], [9, 3], [0, 4]) == "truncated"
 
 
 def test_defects_of_nothing(spark):
