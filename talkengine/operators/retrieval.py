@@ -80,3 +80,40 @@ def scored_once(rows: DataFrame, text: str, score, key: str = "_text") -> DataFr
     """``score`` applied to the distinct texts only (DataFrame -> DataFrame keyed by text), joined back to all rows."""
     distinct = rows.select(F.col(text).alias(key)).where(F.col(key).isNotNull()).distinct()
     return rows.withColumn(key, F.col(text)).join(score(distinct), key, "left").drop(key)
+
+
+def _best(ids: np.ndarray, vectors: np.ndarray):
+    order = np.argsort(ids, kind="stable")
+    ids, vectors = ids[order], vectors[order]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            at, best = [], []
+            for k in range(0, len(b), 2048):
+                sims = np.round(np.stack(b["v"].iloc[k : k + 2048].to_numpy()).astype(np.float64) @ vectors.T, 6)
+                at.append(sims.argmax(1))  # of equal ones the smallest id
+                best.append(sims.max(1))
+            yield pd.DataFrame({"id": b["id"], "match_id": ids[np.concatenate(at)], "similarity": np.concatenate(best)})
+
+    return run
+
+
+def best_match(rows: DataFrame, bank: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(id, match_id, similarity): for each of many rows (id, v) the nearest of a bank that travels in blocks of at most
+    ``block`` vectors. The rows never shuffle unless the bank takes more than one block."""
+    kind, name = rows.schema["id"].dataType.simpleString(), bank.schema["id"].dataType.simpleString()
+    blocks = max(1, -(-bank.count() // block))
+    parts = None
+    for n in range(blocks):
+        some = bank.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select("id", "v").toPandas()  # about ``block`` vectors
+        if len(some):
+            part = rows.select("id", "v").mapInPandas(_best(some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64)), f"id {kind}, match_id {name}, similarity double")
+            parts = part if parts is None else parts.union(part)
+    if parts is None:
+        return rows.sparkSession.createDataFrame([], f"id {kind}, match_id {name}, similarity double")
+    if blocks == 1:
+        return parts
+    best = F.min_by(F.struct("match_id", "similarity"), F.struct((-F.col("similarity")).alias("s"), "match_id"))
+    return parts.groupBy("id").agg(best.alias("m")).select("id", "m.match_id", "m.similarity")

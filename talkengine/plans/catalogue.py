@@ -31,7 +31,7 @@ def _query(sql: str | None = None):
 
 
 def _sq(x: str) -> str:
-    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+    return rf"regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '^ +| +$', '', 'g')"
 
 
 def _st(x: str) -> str:
@@ -470,6 +470,13 @@ def ranking_quality(spark, d):
     return out.select("n_queries", *[F.round(c, 6).alias(c) for c in out.columns if c != "n_queries"])
 
 
+@_query("""with b as (select vec_id, embedding::double[] as v from embeddings where vec_id % 20 = 0), s as (select e.vec_id, b.vec_id as match_id, round(list_inner_product(e.embedding::double[], b.v), 6) as similarity from embeddings e, b)
+select vec_id, min_by(match_id, (-similarity, match_id)) as match_id, max(similarity) as similarity from s group by vec_id""")
+def best_anchor(spark, d):
+    rows, bank = _vectors(spark, d)
+    return retrieval.best_match(rows, bank).withColumnRenamed("id", "vec_id")
+
+
 @_query("""select a.vec_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_inner_product(b.embedding::double[], b.embedding::double[]))), 6) as cosine
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
 def pairwise_cosine(spark, d):

@@ -116,6 +116,57 @@ def embed(spark: SparkSession, folder: str, make=None) -> str:
     return _write(rows.select(F.col("utt_id").alias("id"), F.col("vector").alias("v")), folder, "corpus_embeddings")
 
 
+def evaluate(spark: SparkSession, folder: str, make=None) -> DataFrame:
+    """(system, threshold, f1, recall, slice_recall, n, test_precision, test_recall, test_f1): each phrase's best anchor by
+    cosine and by the pair scorer; thresholds are tuned on val and the slice, and applied once to test."""
+    from ..operators import metrics
+    from ..operators.encoders import encoded, hashing
+
+    cfg = load_config(part="eval")
+    corpus = _read(spark, folder, "corpus").where("label = 'SCIENCE_TALK'").select(F.col("utt_id").alias("match_id"), "utterance")
+    phrases = _read(spark, folder, "pairs").select(F.col("pair_id").alias("id"), "anchor_id", F.col("variant_text").alias("phrase"), F.lit(True).alias("truth"))
+    phrases = phrases.unionByName(_read(spark, folder, "negatives").select(F.col("neg_id").alias("id"), F.lit(None).cast("string").alias("anchor_id"), F.col("text").alias("phrase"), F.lit(False).alias("truth")))
+    vectors = retrieval.scored_once(phrases, "phrase", lambda t: encoded(t, "_text", make or hashing(64), "search_query: "))
+    found = retrieval.best_match(vectors.select("id", F.col("vector").alias("v")).where("v is not null"), spark.read.parquet(f"{folder}/corpus_embeddings.parquet"))
+    scored = phrases.join(found, "id").join(corpus, "match_id").join(_read(spark, folder, "splits").select("id", "split"), "id", "left")
+    held = spark.read.parquet(f"{folder}/hard_informal_slice.parquet").select(F.col("id").alias("anchor_id"), F.lit(True).alias("in_slice"))
+    scored = scored.join(held, "anchor_id", "left").withColumn("pair_score", A.jaccard("phrase", "utterance"))
+    out = None
+    for system, score in (("cosine", "similarity"), ("rerank", "pair_score")):
+        rows = scored.withColumn("score", F.col(score))
+        best = metrics.tune_threshold(rows.where("split = 'val'"), rows.where("in_slice"), metrics.threshold_grid(**cfg["threshold_grid"]), cfg["hard_informal_recall_floor"])
+        test = metrics.confusion(rows.where("split = 'test'").crossJoin(F.broadcast(best.select("threshold"))), F.col("truth"), F.col("score") >= F.col("threshold"))  # one row
+        line = best.crossJoin(test).select(F.lit(system).alias("system"), "threshold", best["f1"], best["recall"], "slice_recall", (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"),
+                                           test["precision"].alias("test_precision"), test["recall"].alias("test_recall"), test["f1"].alias("test_f1"))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+def deploy(spark: SparkSession, folder: str, cells: DataFrame, output: str, make=None, llm=None) -> DataFrame:
+    """Transcript cells (folder, file, line_no, cell, speaker) scored under the call cap, folder by folder allowances,
+    written as one directory per folder and file; gives the rolling allowances."""
+    from ..operators import budget
+    from ..operators.encoders import encoded, hashing
+    from ..sources.files import scored_segments, write_by_folder
+
+    cfg = load_config(part="deploy")
+    folders = cells.select("file", "folder").distinct()
+    rows = scored_segments(cells, tuple(cfg["speakers"]), cfg["min_confidence"]).withColumn("id", F.concat_ws("#", "file", "line_no")).join(folders, "file")
+    vectors = retrieval.scored_once(rows, "utterance", lambda t: encoded(t, "_text", make or hashing(64), "search_query: "))
+    found = retrieval.best_match(vectors.select("id", F.col("vector").alias("v")).where("v is not null"), spark.read.parquet(f"{folder}/corpus_embeddings.parquet"))
+    n = folders.select("folder").distinct().count()
+    share = budget.max_calls(cfg["dollar_cap"] / max(1, n), cfg["cost_per_call"])
+    taken = budget.spend(rows.join(found, "id"), F.col("similarity"), F.lit(cfg["top_k"]), "id", share, by=["folder"])
+    taken = taken.join(llm(taken.where("taken").select("id", "utterance", "match_id")), "id", "left") if llm else taken.withColumn("llm_score", F.lit(None).cast("double"))
+    how = F.when(F.col("taken") & F.col("llm_score").isNotNull(), "llm").otherwise("cosine")
+    args = how, F.col("llm_score"), F.col("similarity")
+    done = taken.select("folder", "file", "line_no", "child_id", "speaker", "utterance", "confidence", F.col("similarity").alias("cosine_score"), "match_id", "llm_score", how.alias("scored_by"), "taken",
+                        S.two_threshold_label(*args, cfg["llm_label_threshold"], cfg["cosine_label_threshold"]).alias("predicted_label"), S.two_threshold_score(*args).alias("score"))
+    write_by_folder(done.drop("taken"), output, "folder", "file", ["line_no"])
+    spent = done.groupBy("folder").agg((F.count_if("taken") * cfg["top_k"] * cfg["cost_per_call"]).alias("spent"))
+    return budget.rolling_allowance(spent, "folder", "spent", cfg["dollar_cap"])
+
+
 STEPS = {"subtypes": subtypes, "negatives": negatives, "pairs": pairs, "routing": routing, "queue": queue, "splits": splits, "embed": embed}
 
 

@@ -274,3 +274,16 @@ def test_jobs(spark, tmp_path):
         assert spark.read.parquet(f"{folder}/{t}.parquet").count() > 0
     assert schemas.corpus_problems(spark.read.parquet(f"{folder}/corpus.parquet"))
     jobs.main([folder, "--steps", "subtypes", "splits"])
+    systems = {r["system"]: r for r in jobs.evaluate(spark, folder).collect()}
+    assert set(systems) == {"cosine", "rerank"} and all(r["threshold"] is not None for r in systems.values())
+    cells = spark.createDataFrame([("f1", "a.xlsx", 2, "look at the ice (90%)", "adult"), ("f1", "a.xlsx", 3, "sit down (10%)", "adult"), ("f2", "b.xlsx", 2, "look at the ice", "child")], "folder string, file string, line_no int, cell string, speaker string")
+    left = {r["folder"]: r["left"] for r in jobs.deploy(spark, folder, cells, str(tmp_path / "out")).collect()}
+    assert left["f1"] < 15 and left["f2"] < 15 and spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+
+
+def test_best_match_by_blocks(spark):
+    rows = spark.createDataFrame([(k, [math.cos(k), math.sin(k)]) for k in range(50)], "id long, v array<double>")
+    bank = spark.createDataFrame([(100 + k, [math.cos(k / 3), math.sin(k / 3)]) for k in range(19)] + [(7, [1.0, 0.0])], "id long, v array<double>")
+    one = sorted(map(tuple, retrieval.best_match(rows, bank).collect()))
+    assert one == sorted(map(tuple, retrieval.best_match(rows, bank, 3).collect())) and one[0][:2] == (0, 7)
+    assert retrieval.best_match(rows, bank.limit(0)).count() == 0
