@@ -347,13 +347,15 @@ class Field:
     moves: np.ndarray  #: (tags, tags)
 
     def scores(self, feats: list[list[str]]) -> np.ndarray:
-        """A tag without any of its cues is ruled out."""
+        """A tag without any of its cues is ruled out, and so is an answer that refuses in so many words."""
         out = np.stack([self.weights[[self.names[f] for f in c if f in self.names]].sum(0) for c in feats])
         for row, c in zip(out, feats):
             have = set(c)
             for tag, cues in enumerate(CUES):
                 if cues and have.isdisjoint(cues):
                     row[tag] = -1e9
+            if not have.isdisjoint(("refuse:policy", "refuse:flat")):
+                row[0] = -1e9
         return out
 
     def tags(self, feats: list[list[str]]) -> list[int]:

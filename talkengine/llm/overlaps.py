@@ -232,7 +232,10 @@ def _build_shard(folder: str):
         final, partial = f"{path}/{int(b['shard'].iloc[0])}.idx", f"{path}/{int(b['shard'].iloc[0])}-{id(b)}.part"
         with fs.open_output_stream(partial) as out:
             out.write(index.packed())
-        fs.move(partial, final)  # a task that runs again writes the same bytes
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            fs.move(partial, final)
+        else:  # the task ran before; its bytes are the same
+            fs.delete_file(partial)
         return pd.DataFrame({"shard": [int(b["shard"].iloc[0])], "texts": [len(b)], "symbols": [index.n]})
 
     return run

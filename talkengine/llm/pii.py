@@ -64,7 +64,7 @@ ADDRESS = re.compile(
     rf"\bp[\s.,]{{0,3}}o[\s.,]{{0,3}}box{_S}*\d+(?P<town2>{_S}*,{_S}*[^\W\d_][\w'’-]+)?|\bpost(?:{_S}+office)?{_S}+box{_S}*\d+", _I)
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _NUMBER_BEFORE = re.compile(rf"\b(?:{'|'.join(OTHER_NUMBERS)})\b[\w\s.#:]{{0,12}}$", _I)
-_STARTS = re.compile(r"(?:^|[.!?:;|\n\r•…*>\"“(\[-]|--|—)[\s​'\"“(•*-]*$")
+_STARTS = re.compile(r"(?:^|[.!?:;|/\n\r•…*>\"“(\[-]|--|—)[\s​'\"“(•*-]*$")
 _NO_NAME = frozenset(CALENDAR + STREET_TYPES + HONORIFICS + STORY_TITLES + GROUPS + TOYS + NEVER)
 _HONORIFICS, _STORY, _GROUPS, _TOYS, _DETERMINERS = map(frozenset, (HONORIFICS, STORY_TITLES, GROUPS, TOYS, DETERMINERS))
 
@@ -75,6 +75,7 @@ class Rules:
     capital_share: float = 0.4
     inner_share: float = 0.15
     least: int = 2
+    least_share: float = 5e-6
     common: int = 3
 
 
@@ -198,7 +199,8 @@ def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicon(texts: DataFrame, rules: Rules = Rules()) -> Lexicon:
     """The lexicon of all texts (one column ``text``): counts by word, kept as two bit tables of ``slots`` places."""
     counted = texts.select("text").mapInPandas(_counts, "word string, low long, capital long, first long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "capital", "first")])
-    name = (F.col("capital") >= rules.least) & (F.col("capital") >= rules.capital_share * (F.col("capital") + F.col("low"))) & (F.col("capital") >= rules.inner_share * F.col("first")) & ~F.col("word").isin(sorted(_NO_NAME))
+    least = max(rules.least, rules.least_share * texts.count())
+    name = (F.col("capital") >= least) & (F.col("capital") >= rules.capital_share * (F.col("capital") + F.col("low"))) & (F.col("capital") >= rules.inner_share * F.col("first")) & ~F.col("word").isin(sorted(_NO_NAME))
     kept = counted.select("word", name.alias("name"), (F.col("low") >= rules.common).alias("usual")).where("name or usual")
 
     def slots(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -179,4 +179,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_records, p2_found, p2_coverage, p3_found, p3_assignment, p4_found, p4_groups, p5_found, p5_redacted, p5_surrogates, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares, p9_found, p9_scores)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": r"""with f as (select distinct lower(regexp_replace(utt_id, '^\s+|\s+$', '', 'g')) as anchor_id, utt_id as id from corpus
+    union select distinct lower(regexp_replace(anchor_id, '^\s+|\s+$', '', 'g')), pair_id from pairs where regexp_replace(anchor_id, '^\s+|\s+$', '', 'g') <> ''),
+n as (select id, lower(regexp_replace(split, '^\s+|\s+$', '', 'g')) as split from splits),
+s as (select id, max(case when split = 'validation' then 'val' else split end) as split from n where split in ('train', 'val', 'validation', 'test') group by id)
+select anchor_id from f join s using (id) group by anchor_id having min(s.split) <> max(s.split)""",
+}
