@@ -35,15 +35,18 @@ def cue_rules(df: DataFrame, id_: str, tier2: str, tier3: str, index: DataFrame)
     return found.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))  # at most six labels
 
 
-def grams(text: Column | str, longest: int = LONGEST) -> Column:
-    """The distinct runs of one to ``longest`` words."""
-    w = F.filter(F.split(F.trim(padded_words(text)), " "), lambda x: x != "")
+def word_list(text: Column | str) -> Column:
+    return F.filter(F.split(F.trim(padded_words(text)), " "), lambda x: x != "")
+
+
+def grams(w: str, longest: int = LONGEST) -> Column:
+    """The distinct runs of one to ``longest`` words of an array column (a column, as lambdas evaluate it again and again)."""
 
     def runs(n: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
         return F.when(F.size(w) >= n, made).otherwise(strings())
 
-    return F.array_distinct(F.concat(w, *[runs(n) for n in range(2, longest + 1)]))
+    return F.array_distinct(F.concat(F.col(w), *[runs(n) for n in range(2, longest + 1)]))
 
 
 def keyword_labels(df: DataFrame, id_: str, text: str, index: DataFrame) -> DataFrame:
@@ -51,7 +54,8 @@ def keyword_labels(df: DataFrame, id_: str, text: str, index: DataFrame) -> Data
 
     The theta join text-contains-token becomes an equi-join of the text's word runs with the vocabulary.
     """
-    runs = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), F.explode(grams(text)).alias("token"))
+    cut = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), word_list(text).alias("w"))
+    runs = cut.select("id", F.explode(grams("w")).alias("token"))
     hit = runs.join(_small(index, SEED_ROWS), "token")
     labels = F.when(F.col("tier") == "TIER3", strings("content")).otherwise(F.coalesce(term_subtypes(F.col("token")), category_subtypes(F.col("category"))))
     return hit.select("id", F.explode(labels).alias("label")).groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
