@@ -4,8 +4,9 @@ A text is read line by line, lines sentence by sentence. Each piece is a link li
 product line (price or article number), a labelled list (items under a heading such as ``Materials:``), a sentence
 (function words, or sentence punctuation) or a bare word run. The bare runs of a text are then analysed as one
 sequence of terms: the share of terms that recur within ``window`` terms, and the autocorrelation at lags 1 to
-``window`` (the share of places that hold the same term as the place a lag before). Unnaturally regular repetition, or
-a long run of mostly different words without function words, makes these words spam. Sentences count where they are
+``window`` (the share of places that hold the same term as the place a lag before). Unnaturally regular repetition,
+repetition spread over many of the different terms, or a long run of mostly different words without function words,
+makes these words spam; a run in which only a few labels come again (a roster, a table, captions) doesn't. Sentences count where they are
 stuffed: where few terms make up much of all different sentences of the text, again and again within one, and fill
 much of the sentence too (a refrain is one sentence said again, so it stuffs nothing). A text is spam if more than half of its words stand in
 links, products, such runs or stuffed sentences.
@@ -60,6 +61,7 @@ class Rules:
     function_share: float = 0.12
     least_list: int = 12
     distinct: float = 0.6
+    spread: float = 0.25
     label_words: int = 6
     stuffed_term: float = 0.12
     stuffed_sentence: float = 0.4
@@ -84,6 +86,12 @@ def autocorrelation(terms: np.ndarray, window: int) -> float:
     return best
 
 
+def spread(terms: np.ndarray) -> float:
+    """The share of different terms that recur, at whatever gap: terms drawn evenly recur evenly, labels of a table alone."""
+    counts = np.unique(terms, return_counts=True)[1]
+    return float((counts > 1).mean()) if len(counts) else 0.0
+
+
 def stuffed_words(sentences: list[list[str]], rules: Rules) -> int:
     """The words of the sentences that a few terms fill.
 
@@ -185,7 +193,7 @@ def judge(text: str | None, rules: Rules = Rules()) -> tuple[int, int, int, int,
         terms = np.array([codes.setdefault(w, len(codes)) for w in runs], np.int64)
         again, periodic = recurrence(terms, rules.window), autocorrelation(terms, rules.window)
         regular = len(terms) >= rules.least_list // 2 and (again >= rules.recurring or periodic >= rules.periodic)
-        bare = len(terms) >= rules.least_list and (len(codes) >= rules.distinct * len(terms) or again < rules.recurring)
+        bare = len(terms) >= rules.least_list and (len(codes) >= rules.distinct * len(terms) or spread(terms) >= rules.spread)
         keywords = stuffed + (len(terms) if regular or bare else 0)
     return words, links, products, keywords, again, periodic
 

@@ -197,3 +197,16 @@ def test_lag_windows():
 
     assert spam.autocorrelation(np.array([1, 2, 3] * 10), 8) == 1.0 and spam.recurrence(np.array([1, 2, 3] * 10), 8) == 0.9
     assert spam.autocorrelation(np.arange(30), 8) == spam.recurrence(np.arange(30), 8) == 0.0
+
+
+def test_runs_with_few_recurring_labels_are_no_spam():
+    import random
+
+    r = random.Random(2)
+    pupils = iter(f"Pupil{k}" for k in range(99))
+    roster = "\n".join(f"Table {r.choice(['red', 'blue', 'green', 'gold'])} " + " ".join(next(pupils) for _ in range(r.choice([1, 1, 2, 2]))) for _ in range(24))
+    tags = " ".join(f"#{r.choice(THINGS)}{r.choice('abc')}" for _ in range(42))
+    for text, spammy in ((roster, False), (tags, True)):
+        n, _, _, found, again, periodic = spam.judge(text)
+        codes = set(text.lower().replace("#", "").split())
+        assert len(codes) < 0.6 * n and again < 0.5 and periodic < 0.3 and found == (n if spammy else 0)
