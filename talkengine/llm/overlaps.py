@@ -6,7 +6,7 @@ stream through every shard in blocks: the last ``short`` words before each posit
 table, which backward search extends to the left until the run is ``full`` words long or occurs at most ``rare`` times. Runs
 on one diagonal merge to maximal matches, these to spans; a pair (training record, evaluation text) with a span
 becomes a candidate. Each text starts with one more symbol, the hash of its folded text, so that texts that differ
-in spacing only also match. Candidates pass the lossless sketch bound, then the exact word-set similarity.
+in spacing only also match. Candidates but those pass the lossless sketch bound, then the exact word-set similarity.
 
 Scale: an index shard holds at most ``shard_words`` words (about 20 bytes each when open), however large the
 evaluation splits are; a task holds one open shard and one block of training texts. Work grows with training size
@@ -327,6 +327,7 @@ def _match_block(index: Index, block: Block, search: Search) -> list[tuple]:
         text = index.texts_of(np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + low[which])
         t = owner[which]
         near = np.bitwise_count(block.sketch[t] ^ sketches[text]) <= (block.n[t] + sizes[text]) * slack + 1e-9
+        near |= index.symbols[index.starts[text] + 1] == queries[starts[t] + 1]  # equal folded texts, whatever their words
         begin = cut
         if not near.any():
             continue

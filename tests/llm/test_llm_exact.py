@@ -199,3 +199,9 @@ def test_index_finds_every_run():
 def test_splits_read_in_any_spelling(spark):
     df = spark.createDataFrame([(" Train ",), ("VALIDATION",), ("test",), ("other",), (None,)], "s string")
     assert [x[0] for x in df.select(overlaps.split_name(F.col("s"))).collect()] == ["train", "val", "test", None, None]
+
+
+def test_equal_folded_texts_overlap_whatever_their_words(spark):
+    rows = [("a", "s", "train", "today we all put the ice cream next to that warm lamp"), ("b", "s", "val", "today we all put the icecream next to that warm lamp")]
+    df = spark.createDataFrame(rows, "id string, source string, split string, text string")
+    assert [(x["train_id"], x["eval_id"]) for x in overlaps.overlaps(df).collect()] == [("a", "b")]
