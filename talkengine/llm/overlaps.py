@@ -3,9 +3,9 @@
 The distinct texts of the evaluation splits are dealt to shards of bounded size; each shard becomes a compressed
 full-text index over words (suffix array, Burrows-Wheeler symbol lists, zstd) in the shared folder. Training records
 stream through every shard in blocks: the last ``short`` words before each position give a first interval from a jump
-table, which backward search extends to the left until the run is ``full`` words long or occurs at most ``rare`` times. Runs
-on one diagonal merge to maximal matches, these to spans; a pair (training record, evaluation text) with a span
-becomes a candidate. Each text starts with one more symbol, the hash of its folded text, so that texts that differ
+table, which backward search extends to the left until the run is ``full`` words long or occurs at most ``rare`` times; a pair
+(training record, evaluation text) with such a run becomes a candidate. So does every pair that shares ``together`` of
+the rarest words of both, as many as similar texts must share whatever the order of their words. Each text starts with one more symbol, the hash of its folded text, so that texts that differ
 in spacing only also match. Candidates but those pass the lossless sketch bound, then the exact word-set similarity.
 
 Scale: an index shard holds at most ``shard_words`` words (about 20 bytes each when open), however large the
@@ -13,8 +13,12 @@ evaluation splits are; a task holds one open shard and one block of training tex
 times the number of shards, which is the size of the evaluation splits in units of ``shard_words``. Copies among the
 evaluation texts are indexed once and expanded at the end. Nothing is collected to the driver but the shard paths.
 
-Recall: every pair that shares a run of ``full`` words is a candidate; pairs that share shorter runs only are found
-where the run is rare. Measured figures are in the README.
+Recall: exact. Of n distinct words a similar text holds at least threshold * n, so among the n - threshold * n +
+``together`` rarest of each (by one order, here the shard's frequency) at least ``together`` are common to both. The
+accepted runs add nothing to the result; how often a run occurs and how texts are dealt to shards don't change it.
+
+``matched_words`` are the training words within runs of ``short`` words that the evaluation text holds too, ``spans``
+the stretches they form; equal folded texts match as a whole.
 
 Defined results: rows without id or text, without a split and with fewer than ``min_words`` distinct words take no
 part; a repeated id counts once; empty sides give an empty result; whole texts are read, whatever their length.
@@ -23,6 +27,7 @@ part; a repeated id counts once; empty sides give an empty result; whole texts a
 from __future__ import annotations
 
 import io
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -46,6 +51,8 @@ class Search:
     full: int = 7
     short: int = 4
     rare: int = 16
+    together: int = 2
+    long: int = 48
     shard_words: int = 4_000_000
     block: int = 60_000
     hits: int = 2_000_000
@@ -126,6 +133,35 @@ def _run_codes(symbols: np.ndarray, length: int, seed: int) -> np.ndarray:
     return np.where(ok, code | np.uint64(1), np.uint64(0))
 
 
+def _rare_sets(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rank: np.ndarray, search: Search) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(words per set, texts, codes) of the sets of rarest words of which similar texts share one.
+
+    Texts of up to ``long`` distinct words meet by sets of ``together`` words; a pair with a longer text by single ones,
+    as the sets of a long text are too many. Words that are not positive stand first in the order and meet nothing.
+    """
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(symbols)]])))
+    at = symbols > 0
+    at[starts + 1] = False
+    code = np.sort(owner[at] * len(rank) + rank[symbols[at]])
+    code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
+    own, word = code // len(rank), code % len(rank)
+    held = np.bincount(own, minlength=len(starts))
+    first = np.cumsum(held) - held
+    least = np.ceil(search.threshold * sizes - 1e-9).astype(np.int64)
+    for size, takes_part in ((search.together, sizes <= search.long), (1, sizes >= search.threshold * search.long - 1e-9)):
+        kept = np.where(takes_part, np.minimum(held, sizes - least + size - (sizes - held)), 0)
+        for k in np.unique(kept[kept >= size]).tolist():
+            group = np.flatnonzero(kept == k)
+            sets = np.array(list(itertools.combinations(range(k), size)))
+            for some in np.array_split(group, 1 + len(group) * len(sets) // 4_000_000):
+                run = word[first[some][:, None] + np.arange(k)].astype(np.uint64)
+                codes = np.zeros((len(some), len(sets)), np.uint64)
+                for j in range(size):
+                    codes = (codes + run[:, sets[:, j]] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+                    codes ^= codes >> np.uint64(29)
+                yield size, np.repeat(some, len(sets)), codes.ravel()
+
+
 class Index:
     """Backward search over the texts of one shard; symbol 0 separates texts, the symbol after it is the folded hash."""
 
@@ -214,6 +250,53 @@ class Index:
                 end, low, high = end[~done], low[~done], high[~done]
         return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(4))
 
+    def rare(self, search: Search) -> None:
+        """For each size of sets their codes in order with the texts that have them, and a bit table of the codes."""
+        if getattr(self, "rare_for", None) == search:
+            return
+        counts = np.bincount(self.symbols, minlength=len(self.ids) + 1)
+        self.rank = np.empty(len(counts), np.int64)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for size, texts, codes in _rare_sets(self.symbols, self.starts, self.doc["n"].astype(np.int64), self.rank, search):
+            found.setdefault(size, []).append((codes, texts.astype(np.int32)))
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, parts in found.items():
+            codes, texts = np.concatenate([c for c, _ in parts]), np.concatenate([t for _, t in parts])
+            parts.clear()
+            order = np.argsort(codes)
+            codes, texts = codes[order], texts[order]
+            bits = np.zeros(1 << max(10, len(codes).bit_length() + 2), bool)
+            bits[codes & np.uint64(len(bits) - 1)] = True
+            self.sets[size] = codes, texts, bits
+        self.rare_for = search
+
+    def similar(self, queries: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, search: Search) -> np.ndarray:
+        """query * texts + text, in order, of all pairs that share a set of rarest words and pass the sketch bound."""
+        self.rare(search)
+        slack = (1 - search.threshold) / (1 + search.threshold)
+        sketches, own = self.doc["sketch"].view(np.uint64), self.doc["n"].astype(np.int64)
+        out = [np.empty(0, np.int64)]
+        for size, who, codes in _rare_sets(queries, starts, sizes, self.rank, search):
+            if size not in self.sets:
+                continue
+            known, texts, bits = self.sets[size]
+            hit = bits[codes & np.uint64(len(bits) - 1)]
+            who, codes = who[hit], codes[hit]
+            low = np.searchsorted(known, codes)
+            count = np.searchsorted(known, codes, "right") - low
+            who, low, count = who[count > 0], low[count > 0], count[count > 0]
+            total, begin = np.cumsum(count), 0
+            while begin < len(count):  # about ``hits`` meetings at a time
+                cut = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + search.hits, "right")))
+                c = count[begin:cut]
+                q = np.repeat(who[begin:cut], c)
+                text = texts[np.arange(len(q)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:cut], c)]
+                near = np.bitwise_count(sketch[q] ^ sketches[text]) <= (sizes[q] + own[text]) * slack + 1e-9
+                out.append(np.unique(q[near] * len(self.starts) + text[near]))
+                begin = cut
+        return np.unique(np.concatenate(out))
+
     def texts_of(self, rows: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, self.suffixes[rows], "right") - 1
 
@@ -266,16 +349,16 @@ def _read_shard(folder: str, shard: int) -> Index | None:
         return Index.unpacked(f.read())
 
 
-def _merged_words(train: np.ndarray, text: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each (train, text): the number of words covered by its runs, and the number of spans they merge to."""
-    order = np.lexsort((end, text, train))
-    train, text, end, length = train[order], text[order], end[order], length[order]
-    new = np.concatenate([[True], (train[1:] != train[:-1]) | (text[1:] != text[:-1])])
-    before = np.concatenate([[0], end[:-1]])
-    gap = np.where(new, length, np.minimum(length, end - before))
-    span = new | (end - length > before)
-    at = np.flatnonzero(new)
-    return train[at], text[at], np.add.reduceat(gap, at), np.add.reduceat(span.astype(np.int64), at)
+def _matched(mine: list[int], theirs: list[int], short: int) -> tuple[int, int]:
+    """The words of ``mine`` within runs of ``short`` words that are in ``theirs`` too, and the stretches they form."""
+    runs = set(zip(*(theirs[k:] for k in range(short))))
+    covered = spans = till = 0
+    for k, run in enumerate(zip(*(mine[j:] for j in range(short)))):
+        if run in runs:
+            spans += k > till or not covered
+            covered += k + short - max(k, till)
+            till = k + short
+    return covered, spans
 
 
 class Block:
@@ -304,40 +387,37 @@ class Block:
 
 def _match_block(index: Index, block: Block, search: Search) -> list[tuple]:
     queries, starts = block.symbols(index), block.starts
-    end, low, high, length = index.runs(queries, search.full, search.short, search.rare)
+    end, low, high, _ = index.runs(queries, search.full, search.short, search.rare)
     owner = np.searchsorted(starts, end, "right") - 1
-    equal = np.flatnonzero(queries[starts + 1] > 0)  # the folded text is there: a run over the whole text
+    equal = np.flatnonzero(queries[starts + 1] > 0)  # the folded text is there
     sym = queries[starts[equal] + 1]
-    end, owner = np.concatenate([end, block.bounds[equal + 1] - 1]), np.concatenate([owner, equal])
-    low, high = np.concatenate([low, index.first[sym]]), np.concatenate([high, index.first[sym + 1]])
-    length = np.concatenate([length, block.bounds[equal + 1] - starts[equal] - 2])
-    order = np.argsort(owner, kind="stable")
-    end, low, counts, length, owner = end[order], low[order], (high - low)[order], length[order], owner[order]
+    owner, low, high = np.concatenate([owner, equal]), np.concatenate([low, index.first[sym]]), np.concatenate([high, index.first[sym + 1]])
+    counts = high - low
 
     slack = (1 - search.threshold) / (1 + search.threshold)
     sketches, sizes = index.doc["sketch"].view(np.uint64), index.doc["n"].astype(np.int64)
     bounds = np.concatenate([index.starts, [index.n]])
     out: list[tuple] = []
+    pairs = [index.similar(queries, starts, block.n, block.sketch, search)]
     total, begin = np.cumsum(counts), 0
-    while begin < len(counts):  # about ``hits`` located runs at a time, whole texts
-        last = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + search.hits, "right"))
-        cut = max(int(np.searchsorted(owner, owner[min(last, len(owner) - 1)], "left")), int(np.searchsorted(owner, owner[begin], "right"))) if last < len(owner) else len(owner)
+    while begin < len(counts):  # about ``hits`` located runs at a time
+        cut = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + search.hits, "right")))
         c = counts[begin:cut]
-        which = np.repeat(np.arange(begin, cut), c)
-        text = index.texts_of(np.arange(len(which)) - np.repeat(np.cumsum(c) - c, c) + low[which])
-        t = owner[which]
+        text = index.texts_of(np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:cut], c))
+        t = np.repeat(owner[begin:cut], c)
         near = np.bitwise_count(block.sketch[t] ^ sketches[text]) <= (block.n[t] + sizes[text]) * slack + 1e-9
         near |= index.symbols[index.starts[text] + 1] == queries[starts[t] + 1]  # equal folded texts, whatever their words
+        pairs.append(np.unique(t[near] * len(index.starts) + text[near]))
         begin = cut
-        if not near.any():
-            continue
-        which, t, text = which[near], t[near], text[near]
-        for x, y, matched, spans in zip(*(v.tolist() for v in _merged_words(t, text, end[which] - starts[t], length[which]))):
-            mine = set(queries[starts[x] + 2 : block.bounds[x + 1]].tolist())
-            both = len(mine.intersection(index.symbols[bounds[y] + 2 : bounds[y + 1]].tolist()))
-            similarity = both / (int(block.n[x]) + int(sizes[y]) - both)
-            if similarity >= search.threshold - 1e-12 or index.symbols[bounds[y] + 1] == queries[starts[x] + 1]:
-                out.append((block.ids[x], int(index.doc["h"][y]), int(index.doc["g"][y]), matched, spans, similarity))
+    for code in np.unique(np.concatenate(pairs)).tolist():
+        x, y = divmod(code, len(index.starts))
+        mine, theirs = queries[starts[x] + 2 : block.bounds[x + 1]].tolist(), index.symbols[bounds[y] + 2 : bounds[y + 1]].tolist()
+        both = len(set(mine).intersection(theirs))
+        similarity = both / (int(block.n[x]) + int(sizes[y]) - both)
+        equal = index.symbols[bounds[y] + 1] == queries[starts[x] + 1]
+        if similarity >= search.threshold - 1e-12 or equal:
+            matched, spans = (len(mine), 1) if equal else _matched(mine, theirs, search.short)
+            out.append((block.ids[x], int(index.doc["h"][y]), int(index.doc["g"][y]), matched, spans, similarity))
     return out
 
 

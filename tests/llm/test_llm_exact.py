@@ -205,3 +205,25 @@ def test_equal_folded_texts_overlap_whatever_their_words(spark):
     rows = [("a", "s", "train", "today we all put the ice cream next to that warm lamp"), ("b", "s", "val", "today we all put the icecream next to that warm lamp")]
     df = spark.createDataFrame(rows, "id string, source string, split string, text string")
     assert [(x["train_id"], x["eval_id"]) for x in overlaps.overlaps(df).collect()] == [("a", "b")]
+
+
+def test_overlaps_without_a_shared_run(spark):
+    r = random.Random(7)
+    common = [sentence(r) for _ in range(30)]
+    rows = []
+    for k in range(40):
+        own = [f"own{k}x{j}" for j in range(r.choice([6, 20, 40, 60, 90]))] + r.sample("the a we to and it near then".split(), 4)
+        other = own[: -1 if k % 2 else None] + (["odd"] if k % 3 else [])
+        rows += [(f"t{k:02d}", "s", "train", " ".join(own)), (f"v{k:02d}", "s", "val", " ".join(r.sample(other, len(other))))]
+    rows += [(f"c{k:02d}", "s", r.choice(["train", "val"]), t) for k, t in enumerate(common)]
+    df = spark.createDataFrame(rows, "id string, source string, split string, text string")
+    known = {i: (s, t) for i, _, s, t in rows}
+    want = {(a, b) for a, b in itertools.product(sorted(known), repeat=2) if known[a][0] == "train" and known[b][0] == "val" and similar(known[a][1], known[b][1])}
+    for small in ({}, {"rare": 1}, {"shard_words": 300, "block": 7, "hits": 20, "long": 20}):
+        assert {(x["train_id"], x["eval_id"]) for x in overlaps.overlaps(df, overlaps.Search(**small)).collect()} == want
+    assert len(want) >= 40
+
+
+def test_matched_words():
+    assert overlaps._matched([1, 2, 3, 4, 5, 9, 9, 1, 2, 3, 4], [1, 2, 3, 4, 5], 4) == (9, 2) and overlaps._matched([1, 2], [1, 2], 4) == (0, 0)
+    assert overlaps._matched([5, 1, 2, 3, 4, 6, 7, 8, 9], [6, 7, 8, 9, 0, 1, 2, 3, 4], 4) == (8, 1)
