@@ -65,9 +65,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """(id, family, split): a split for every record of corpus, pairs and splits, one per family."""
+    """(id, family, split): a split for every record of corpus, pairs, negatives and splits, one per family."""
     known = _family_labels(spark, d).where("id is not null").select("id", "root")
-    rows = known.join(_splits(spark, d).select("id"), "id", "full_outer").select("id", F.coalesce("root", F.concat(F.lit("r:"), "id")).alias("root"))
+    alone = load(spark, d, "negatives").select(F.col("neg_id").alias("id")).where("id is not null").union(_splits(spark, d).select("id")).distinct()
+    rows = known.join(alone, "id", "full_outer").select("id", F.coalesce("root", F.concat(F.lit("r:"), "id")).alias("root"))
     rows = written(rows, "records")
     dealt = families.deal(rows.groupBy("root").agg(F.count("*").alias("size")))
     return rows.join(dealt.select("root", "split"), "root").select("id", F.col("root").alias("family"), "split")

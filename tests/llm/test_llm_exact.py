@@ -227,3 +227,19 @@ def test_overlaps_without_a_shared_run(spark):
 def test_matched_words():
     assert overlaps._matched([1, 2, 3, 4, 5, 9, 9, 1, 2, 3, 4], [1, 2, 3, 4, 5], 4) == (9, 2) and overlaps._matched([1, 2], [1, 2], 4) == (0, 0)
     assert overlaps._matched([5, 1, 2, 3, 4, 6, 7, 8, 9], [6, 7, 8, 9, 0, 1, 2, 3, 4], 4) == (8, 1)
+
+
+def test_every_record_is_assigned(spark, tmp_path):
+    from talkengine.llm import queries
+
+    def table(name, rows, kinds):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    table("corpus", [("u1",), ("u1",), ("u2",)], "utt_id string")
+    table("pairs", [("p1", " U1 "), ("p2", None)], "pair_id string, anchor_id string")
+    table("negatives", [("n1",), ("n1",), ("n2",), (None,)], "neg_id string")
+    table("splits", [("n1", "train"), ("s1", None), ("p1", "val")], "id string, split string")
+    rows = [tuple(r) for r in queries.p3_assignment(spark, str(tmp_path)).collect()]
+    assert sorted(r[0] for r in rows) == ["n1", "n2", "p1", "p2", "s1", "u1", "u2"] and all(s in ("train", "val", "test") for _, _, s in rows)
+    family = {i: f for i, f, _ in rows}
+    assert family["u1"] == family["p1"] and len(set(family.values())) == 6
