@@ -2,6 +2,8 @@
 
 Mail addresses, phone numbers, identity numbers and street addresses are found by form and by the words around them;
 names by a lexicon that is learned from all texts: a word that often stands with a capital within sentences, outside contexts that make it something else (calendar, streets, groups, animals, toys, story figures).
+Words are judged by the shares of their places, with a bound for few of them, whatever the number of texts; a name
+written once is found where only a person stands (spoken to, or speaking).
 The lexicon is a bit table of fixed size, so it can be sent to every task at any scale, and lower-case texts are read
 with it as well.
 
@@ -33,6 +35,9 @@ from .words import normal
 
 TYPES = ("name", "email", "phone", "id_number", "address")
 
+# Words right before or after a capitalised word that make it a person, known or not.
+PERSON_BEFORE = "tell told ask asked thank thanked remind reminded invite invited".split()
+PERSON_AFTER = "said says asked asks told whispered shouted replied answered giggled".split()
 # Words that have capitals without being names of persons.
 CALENDAR = "monday tuesday wednesday thursday friday saturday sunday mondays tuesdays wednesdays thursdays fridays saturdays sundays january february march april may june july august september october november december".split()
 STREET_TYPES = "street st road rd avenue ave lane ln court ct drive dr way terrace place pl boulevard blvd close crescent square".split()
@@ -65,6 +70,7 @@ ADDRESS = re.compile(
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _NUMBER_BEFORE = re.compile(rf"\b(?:{'|'.join(OTHER_NUMBERS)})\b[\w\s.#:]{{0,12}}$", _I)
 _STARTS = re.compile(r"(?:^|[.!?:;|/\n\r•…*>\"“(\[-]|--|—)[\s​'\"“(•*-]*$")
+_PERSON_BEFORE, _PERSON_AFTER = frozenset(PERSON_BEFORE), frozenset(PERSON_AFTER)
 _NO_NAME = frozenset(CALENDAR + STREET_TYPES + HONORIFICS + STORY_TITLES + GROUPS + TOYS + NEVER)
 _HONORIFICS, _STORY, _GROUPS, _TOYS, _DETERMINERS = map(frozenset, (HONORIFICS, STORY_TITLES, GROUPS, TOYS, DETERMINERS))
 
@@ -75,8 +81,8 @@ class Rules:
     capital_share: float = 0.4
     inner_share: float = 0.15
     least: int = 2
-    least_share: float = 5e-6
     common: int = 3
+    common_share: float = 0.1
 
 
 @dataclass
@@ -167,6 +173,14 @@ def _other_context(text: str, tokens: list[tuple[int, int, str]], k: int) -> boo
     return bool(before) and k > 1 and tokens[k - 2][2].lower() in _STORY and tokens[k - 1][2][0].isupper()
 
 
+def _of_person(text: str, tokens: list[tuple[int, int, str]], k: int) -> bool:
+    """The word stands within a sentence where only a person does: spoken to, speaking or with a relation."""
+    start, end, _ = tokens[k]
+    before = tokens[k - 1][2] if k and text[tokens[k - 1][1] : start] == " " else ""
+    after = tokens[k + 1][2] if k + 1 < len(tokens) and text[end : tokens[k + 1][0]] == " " else ""
+    return before.lower() in _PERSON_BEFORE or bool(before) and before.islower() and after in _PERSON_AFTER
+
+
 def _parts(word: str) -> list[str]:
     word = normal(word).removesuffix("'s").removesuffix("’s")
     return [word, *(p for p in word.split("-") if len(p) > 2)] if "-" in word else [word]
@@ -199,9 +213,9 @@ def _counts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicon(texts: DataFrame, rules: Rules = Rules()) -> Lexicon:
     """The lexicon of all texts (one column ``text``): counts by word, kept as two bit tables of ``slots`` places."""
     counted = texts.select("text").mapInPandas(_counts, "word string, low long, capital long, first long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("low", "capital", "first")])
-    least = max(rules.least, rules.least_share * texts.count())
-    name = (F.col("capital") >= least) & (F.col("capital") >= rules.capital_share * (F.col("capital") + F.col("low"))) & (F.col("capital") >= rules.inner_share * F.col("first")) & ~F.col("word").isin(sorted(_NO_NAME))
-    kept = counted.select("word", name.alias("name"), (F.col("low") >= rules.common).alias("usual")).where("name or usual")
+    name = (F.col("capital") >= rules.least) & (F.col("capital") >= rules.capital_share * (F.col("capital") + F.col("low"))) & (F.col("capital") >= rules.inner_share * F.col("first")) & ~F.col("word").isin(sorted(_NO_NAME))
+    usual = (F.col("low") >= rules.common) & (F.col("low") >= rules.common_share * (F.col("capital") + F.col("low")))
+    kept = counted.select("word", name.alias("name"), usual.alias("usual")).where("name or usual")
 
     def slots(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -244,6 +258,8 @@ def detect(text: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
         hit = len(word) > 2 and low not in _NO_NAME and known(word) and not _other_context(text, tokens, k)
         if not hit and k and tokens[k - 1][2].lower() in _HONORIFICS and start - tokens[k - 1][1] <= 2 and len(word) > 2 and low not in _NO_NAME:
             hit = not lex.usual(low) and low not in _DETERMINERS and (not mixed or word[0].isupper())
+        if not hit and mixed and word[0].isupper() and not word.isupper() and len(word) > 2 and low not in _NO_NAME:  # a name seen once
+            hit = not lex.usual(_parts(word)[0]) and _of_person(text, tokens, k) and not _other_context(text, tokens, k)
         if not hit:
             k += 1
             continue

@@ -210,3 +210,21 @@ def test_runs_with_few_recurring_labels_are_no_spam():
         n, _, _, found, again, periodic = spam.judge(text)
         codes = set(text.lower().replace("#", "").split())
         assert len(codes) < 0.6 * n and again < 0.5 and periodic < 0.3 and found == (n if spammy else 0)
+
+
+def test_names_by_shares_and_context(spark):
+    got = found(spark, [("once", "Please ask Tamsin about the wet shell."), ("says", "today Brenwick said the cork can float."), ("thing", "We saw Marble Bridge by the gate."), ("usual", "We saw the gate. We ask Shell by the shell, a shell, my shell.")])
+    assert got["once"] == ("Please ask [NAME] about the wet shell.", ["name"]) and got["says"][1] == ["name"] and got["thing"][1] == got["usual"][1] == []
+
+
+def test_lexicon_follows_shares(spark):
+    texts = ["We told Orvan that a gate is here."] * 40 + ["We saw orvan by the Shell and gate."] * 3 + ["We drop a cork and gate by Velda."] * 2
+    lex = pii.lexicon(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert lex.name("orvan") and not lex.usual("orvan") and lex.usual("gate") and lex.name("velda")
+    detected = pii.detect("We saw Mr. Orvan by the gate.", lex)
+    assert [k for _, _, k in detected] == ["name"]
+
+
+def test_lexicon_does_not_raise_its_bar_with_the_number_of_texts(spark):
+    df = spark.range(600_000).select(F.when(F.col("id") < 2, "We told Velda that a gate is here.").otherwise("gate").alias("text"))
+    assert pii.lexicon(df).name("velda")
