@@ -6,8 +6,8 @@ as answer, refusal, echo, foreign or unfinished; the word coverage of the tags d
 
 What the features need to know about the language comes from all responses: how often each word occurs, which words
 are frequent enough to shape a sentence, and how often sentences end after a word, a word pair, a run of frequent
-words and a whole sentence shape. These statistics live in hashed tables of fixed size (a few MB), so they can be sent
-to every task at any scale; they are summed in tasks and merged by one small aggregation.
+words and a whole sentence shape. These statistics live in hashed tables (a few MB here), whose sizes follow the counted
+number of distinct keys so that few of them meet; they are summed in tasks and merged by one small aggregation.
 
 The CRF is trained here, on a bounded sample of ``sample`` pairs (smallest hashes of the id) whose texts are turned
 into labelled responses: prompts said back with small edits, sentences of other prompts kept whole or broken off,
@@ -96,8 +96,10 @@ class Model:
     seed: int = 5
     frequent: float = 0.06
     known: int = 3
+    known_share: float = 1e-5
     word_slots: int = 2**18
     end_slots: int = 2**20
+    thin: int = 32
     rounds: int = 400
     echo_words: float = 0.8
     own_words: float = 0.08
@@ -111,7 +113,7 @@ class Model:
 @dataclass
 class Language:
     n_texts: int
-    word_counts: np.ndarray  #: by hash slot
+    known: np.ndarray  #: by hash slot: words of enough prompts
     frequent: frozenset[str]
     prefixes: np.ndarray  #: by hash slot: beginnings of known words
     seen: np.ndarray  #: by key slot: places
@@ -122,17 +124,26 @@ def _slot(word: str, slots: int) -> int:
     return xxhash.xxh3_64_intdigest(word) % slots
 
 
-def _word_counter(slots: int):
+def _room(least: int, keys: int, model: "Model") -> int:
+    """A table size, a power of two from ``least`` on, of which ``keys`` fill one place in ``thin`` at most."""
+    return max(least, 1 << max(1, keys * model.thin - 1).bit_length())
+
+
+def _word_counter(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        replies: Counter[str] = Counter()
+        prompts: Counter[str] = Counter()
+        for prompt, reply in zip(b["prompt"], b["reply"]):
+            replies.update(set(words(reply)))
+            prompts.update(set(words(prompt)))
+        rows = [(w, replies[w], prompts[w]) for w in replies.keys() | prompts.keys()]
+        yield pd.DataFrame(rows, columns=["word", "n", "m"]).astype({"n": "int64", "m": "int64"})
+
+
+def _word_slots(slots: int):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            replies: Counter[str] = Counter()
-            prompts: Counter[str] = Counter()
-            for prompt, reply in zip(b["prompt"], b["reply"]):
-                replies.update(set(words(reply)))
-                prompts.update(set(words(prompt)))
-            found = list(replies.keys() | prompts.keys())
-            rows = [(w, _slot(w, slots), replies[w], prompts[w]) for w in found]
-            yield pd.DataFrame(rows, columns=["word", "slot", "n", "m"]).astype({"slot": "int32", "n": "int64", "m": "int64"})
+            yield pd.DataFrame({"slot": [_slot(w, slots) for w in b["word"]]}, dtype="int64")
 
     return run
 
@@ -143,7 +154,7 @@ def _prefixes(slots: int):
         for b in batches:
             for w in b["word"]:
                 found.update(_slot(w[:k], slots) for k in range(1, min(len(w), 40)))
-        yield pd.DataFrame({"slot": sorted(found)}).astype({"slot": "int32"})
+        yield pd.DataFrame({"slot": sorted(found)}, dtype="int64")
 
     return run
 
@@ -228,22 +239,34 @@ def _end_counter(frequent: frozenset[str], slots: int):
 def language(pairs: DataFrame, model: Model = Model()) -> Language:
     """Statistics of all pairs (prompt, reply)."""
     texts = pairs.select("prompt", "reply")
-    counted = written(texts.mapInPandas(_word_counter(model.word_slots), "word string, slot int, n long, m long").groupBy("word", "slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "words")
+    counted = written(texts.mapInPandas(_word_counter, "word string, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "words")
     n_texts = texts.count()
     # at most (mean distinct words per text) / frequent of them can be frequent
     often = [r["word"] for r in counted.where(F.col("n") >= max(2.0, model.frequent * n_texts)).select("word").collect()]
-    word_counts = np.zeros(model.word_slots, np.int64)
-    table = counted.groupBy("slot").agg(F.max("m").alias("m")).toArrow()  # at most word_slots rows
-    word_counts[table["slot"].to_numpy()] = table["m"].to_numpy()
-    begun = counted.where(F.col("m") >= model.known).select("word").mapInPandas(_prefixes(model.end_slots), "slot int").distinct().toArrow()  # at most end_slots rows
-    prefixes = np.zeros(model.end_slots, bool)
-    prefixes[begun["slot"].to_numpy()] = True
+    least = max(model.known, model.known_share * n_texts)
+    common = counted.where(F.col("m") >= least).select("word")  # at most (mean distinct words per prompt) / known_share of them
+    n_known, n_prefixes = common.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+
+    def table(slots: int, found: DataFrame) -> np.ndarray:
+        out = np.zeros(slots, bool)
+        out[found.distinct().toArrow()["slot"].to_numpy()] = True
+        return out
+
+    word_slots, prefix_slots = _room(model.word_slots, n_known, model), _room(model.end_slots, n_prefixes, model)
+    known = table(word_slots, common.mapInPandas(_word_slots(word_slots), "slot long"))
+    prefixes = table(prefix_slots, common.mapInPandas(_prefixes(prefix_slots), "slot long"))
     frequent = frozenset(often)
-    sums = texts.mapInPandas(_end_counter(frequent, model.end_slots), "slot int, seen long, ends long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends")).toArrow()  # at most end_slots rows
-    seen, ends = np.zeros(model.end_slots, np.int32), np.zeros(model.end_slots, np.int32)
+    slots = model.end_slots
+    while True:
+        sums = texts.mapInPandas(_end_counter(frequent, slots), "slot int, seen long, ends long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends")).toArrow()  # at most ``slots`` rows
+        if 4 * len(sums) <= slots:
+            break
+        free = max(1, slots - len(sums)) / slots  # the number of distinct keys by the places that are left free
+        slots = max(4 * slots, 1 << int(-8 * slots * np.log(free)).bit_length())
+    seen, ends = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
     at = sums["slot"].to_numpy()
     seen[at], ends[at] = np.minimum(sums["seen"].to_numpy(), 2**31 - 1), np.minimum(sums["ends"].to_numpy(), 2**31 - 1)
-    return Language(n_texts, word_counts, frequent, prefixes, seen, ends)
+    return Language(n_texts, known, frequent, prefixes, seen, ends)
 
 
 # ---------------------------------------------------------------- clause features
@@ -258,7 +281,7 @@ class Reader:
         self.names: dict[str, int] = {}
 
     def unknown(self, word: str) -> bool:
-        return self.lang.word_counts[_slot(word, self.model.word_slots)] < self.model.known
+        return not self.lang.known[_slot(word, len(self.lang.known))]
 
     def prompt(self, text: str | None) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
         run = words(text)
@@ -309,8 +332,8 @@ class Reader:
         if run[-1] in _DANGLING:
             out.append("end:dangling")
         if self.unknown(run[-1]):
-            out.append("end:fragment" if self.lang.prefixes[_slot(run[-1], self.model.end_slots)] else "end:unknown")
-        at = (end_keys([run], self.known, self.shapes)[-1] % np.uint64(self.model.end_slots)).astype(np.int64)
+            out.append("end:fragment" if self.lang.prefixes[_slot(run[-1], len(self.lang.prefixes))] else "end:unknown")
+        at = (end_keys([run], self.known, self.shapes)[-1] % np.uint64(len(self.lang.seen))).astype(np.int64)
         seen_, ends_ = self.lang.seen[at], self.lang.ends[at]
         rates = []
         for name, s, e in zip(("word", "two", "four", "whole"), seen_.tolist(), ends_.tolist()):

@@ -228,3 +228,12 @@ def test_lexicon_follows_shares(spark):
 def test_lexicon_does_not_raise_its_bar_with_the_number_of_texts(spark):
     df = spark.range(600_000).select(F.when(F.col("id") < 2, "We told Velda that a gate is here.").otherwise("gate").alias("text"))
     assert pii.lexicon(df).name("velda")
+
+
+def test_tables_of_the_language_grow_with_its_words(spark):
+    df = spark.createDataFrame([(f"word{k}a word{k}b word{k}c", f"We saw word{k}a and word{k}b.") for k in range(300)] * 3, "prompt string, reply string")
+    model = defects.Model(word_slots=256, end_slots=256)
+    reader = defects.Reader(defects.language(df, model), model)
+    assert not any(reader.unknown(f"word{k}{c}") for k in range(300) for c in "abc")
+    assert sum(reader.unknown(f"fremd{k}") for k in range(1000)) > 900
+    assert (reader.lang.seen > 0).mean() <= 0.25 and reader.lang.prefixes.mean() < 0.1
