@@ -143,7 +143,7 @@ def links(sets: DataFrame, forest: Forest = Forest()) -> DataFrame:
         found = written(_verified(_candidates(sets, forest, depth), sets, forest.threshold), "links")
         seen = F.lit(1.0) - F.pow(F.lit(1.0) - F.pow("similarity", F.lit(depth)), F.lit(forest.trees))
         n, expected = found.agg(F.count("*"), F.sum(1.0 / seen)).first()
-        if not n or n / expected >= forest.target_recall:
+        if n >= 3 / (1 - forest.target_recall) and n / expected >= forest.target_recall:  # fewer links can't bear the target
             break
     return found
 

@@ -243,3 +243,10 @@ def test_every_record_is_assigned(spark, tmp_path):
     assert sorted(r[0] for r in rows) == ["n1", "n2", "p1", "p2", "s1", "u1", "u2"] and all(s in ("train", "val", "test") for _, _, s in rows)
     family = {i: f for i, f, _ in rows}
     assert family["u1"] == family["p1"] and len(set(family.values())) == 6
+
+
+def test_few_links_go_on_to_the_safe_depth(spark, texts, monkeypatch):
+    depths, candidates = [], nearest._candidates
+    monkeypatch.setattr(nearest, "_candidates", lambda sets, forest, depth: depths.append(depth) or candidates(sets, forest, depth))
+    nearest.near_duplicates(spark.createDataFrame(texts[:1], "id string, text string"))
+    assert depths == [nearest.Forest().safe_depth() + 1, nearest.Forest().safe_depth()]
