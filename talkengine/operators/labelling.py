@@ -11,7 +11,6 @@ from ..functions.text import padded_words
 
 #: The seed vocabulary is broadcast up to this many rows; beyond it the joins shuffle.
 SEED_ROWS = 200_000
-LONGEST = 3
 
 
 def seed_index(seeds: DataFrame) -> DataFrame:
@@ -39,7 +38,7 @@ def word_list(text: Column | str) -> Column:
     return F.filter(F.split(F.trim(padded_words(text)), " "), lambda x: x != "")
 
 
-def grams(w: str, longest: int = LONGEST) -> Column:
+def grams(w: str, longest: int) -> Column:
     """The distinct runs of one to ``longest`` words of an array column (a column, as lambdas evaluate it again and again)."""
 
     def runs(n: int) -> Column:
@@ -55,7 +54,8 @@ def keyword_labels(df: DataFrame, id_: str, text: str, index: DataFrame) -> Data
     The theta join text-contains-token becomes an equi-join of the text's word runs with the vocabulary.
     """
     cut = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), word_list(text).alias("w"))
-    runs = cut.select("id", F.explode(grams("w")).alias("token"))
+    longest = index.agg(F.max(F.size(F.split("token", " ")))).first()[0] or 1  # words of the longest token
+    runs = cut.select("id", F.explode(grams("w", longest)).alias("token"))
     hit = runs.join(_small(index, SEED_ROWS), "token")
     labels = F.when(F.col("tier") == "TIER3", strings("content")).otherwise(F.coalesce(term_subtypes(F.col("token")), category_subtypes(F.col("category"))))
     return hit.select("id", F.explode(labels).alias("label")).groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))

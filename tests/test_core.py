@@ -287,3 +287,11 @@ def test_best_match_by_blocks(spark):
     one = sorted(map(tuple, retrieval.best_match(rows, bank).collect()))
     assert one == sorted(map(tuple, retrieval.best_match(rows, bank, 3).collect())) and one[0][:2] == (0, 7)
     assert retrieval.best_match(rows, bank.limit(0)).count() == 0
+
+
+def test_keyword_scan_finds_tokens_of_any_length(spark):
+    from talkengine.operators import labelling
+
+    index = spark.createDataFrame([("one two three four five", "TIER3", "x")], "token string, tier string, category string")
+    df = spark.createDataFrame([("a", "We count: one two three four five!"), ("b", "one two three four")], "id string, text string")
+    assert [(r["id"], r["labels"]) for r in labelling.keyword_labels(df, "id", "text", index).collect()] == [("a", ["content"])]
