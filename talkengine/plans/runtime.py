@@ -8,6 +8,7 @@ executor-local storage. Only where that setting is absent (tests, a laptop) a te
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -39,10 +40,13 @@ def session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and the
+    session runs in one process; a cluster without the setting raises."""
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir", None) or spark.conf.get("talkengine.shared.dir", None)
     if named is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="talkengine-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("talkengine.shared.dir", named)
@@ -54,6 +58,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of the file system that Spark resolves it to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once, written to the shared folder and read back: later jobs restart from the files."""
     spark = df.sparkSession
