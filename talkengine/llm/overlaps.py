@@ -1,24 +1,26 @@
 """Records of evaluation splits that also stand, equally or almost, in the training split.
 
 The distinct texts of the evaluation splits are dealt to shards of bounded size; each shard becomes a compressed
-full-text index over words (suffix array, Burrows-Wheeler symbol lists, zstd) in the shared folder. Training records
-stream through every shard in blocks: the last ``short`` words before each position give a first interval from a jump
-table, which backward search extends to the left until the run is ``full`` words long or occurs at most ``rare`` times; a pair
-(training record, evaluation text) with such a run becomes a candidate. So does every pair that shares ``together`` of
-the rarest words of both, as many as similar texts must share whatever the order of their words. Each text starts with one more symbol, the hash of its folded text, so that texts that differ
-in spacing only also match. Candidates but those pass the lossless sketch bound, then the exact word-set similarity.
-
-Scale: an index shard holds at most ``shard_words`` words (about 20 bytes each when open), however large the
-evaluation splits are; a task holds one open shard and one block of training texts. Work grows with training size
-times the number of shards, which is the size of the evaluation splits in units of ``shard_words``. Copies among the
-evaluation texts are indexed once and expanded at the end. Nothing is collected to the driver but the shard paths.
-
-Recall: exact. Of n distinct words a similar text holds at least threshold * n, so among the n - threshold * n +
-``together`` rarest of each (by one order, here the shard's frequency) at least ``together`` are common to both. The
-accepted runs add nothing to the result; how often a run occurs and how texts are dealt to shards don't change it.
-
-``matched_words`` are the training words within runs of ``short`` words that the evaluation text holds too, ``spans``
-the stretches they form; equal folded texts match as a whole.
+full-text index (suffix array, Burrows-Wheeler symbol lists, zstd) in the shared folder. Texts are laid out in one
+canonical order of their distinct words, rarest first, so texts that hold the same words in another order match too.
+Training texts stream through every shard in blocks: backward search gives the rows of each run of two neighbouring
+words, and the occurrences that the word before does not extend are the beginnings of the maximal matches. Matches
+of one pair of texts are merged; what passes the lossless bounds on sizes and sketches is verified on the word sets.
+
+Exactness. Let c words be common and d differ; similarity t or more means d <= c (1 - t) / t. Among the first d + 2
+common words there are d + 1 gaps and at most d words that could part them, so two are neighbours in both texts, and
+they lie within the first ``zone`` places of either. So every similar pair has a maximal match that begins in the zones, which is all
+that is laid out; the other words stand beside the index for the verification. How often a run occurs, how texts are
+dealt to shards and the blocks don't change the result. Texts with equal folded text meet by that.
+
+Scale: a shard holds at most ``shard_words`` words, however large the evaluation splits are, and a block as many
+words of training texts, so a shard is opened once for about as much work as it holds; memory is one block and one
+shard. Work grows with training words times shards. Copies are indexed once, searched once per block and expanded at
+the end. Only (shard, size) rows come to the driver, which makes sure that it sees every shard file; a task that does
+not find one fails.
+
+``matched_words`` are the training words within maximal matches of ``short`` or more words in reading order,
+``spans`` the stretches they form; equal folded texts match as a whole.
 
 Defined results: rows without id or text, without a split and with fewer than ``min_words`` distinct words take no
 part; a repeated id counts once; empty sides give an empty result; whole texts are read, whatever their length.
@@ -27,7 +29,6 @@ part; a repeated id counts once; empty sides give an empty result; whole texts a
 from __future__ import annotations
 
 import io
-import itertools
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -40,7 +41,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.runtime import fresh_path, written
+from ..plans.runtime import fresh_path, qualified, written
 from .words import WordHashes, parity_sketch, words
 
 
@@ -48,14 +49,17 @@ from .words import WordHashes, parity_sketch, words
 class Search:
     threshold: float = 0.8
     min_words: int = 8
-    full: int = 7
     short: int = 4
-    rare: int = 16
-    together: int = 2
-    long: int = 48
     shard_words: int = 4_000_000
-    block: int = 60_000
-    hits: int = 2_000_000
+    hits: int = 250_000
+
+    def zone(self, n: np.ndarray) -> np.ndarray:
+        """For texts of n distinct words the places within which two neighbours of a similar text must stand."""
+        out = np.zeros(len(n), np.int64)
+        for a in range(int((1 - self.threshold) * n.max(initial=0) + 1e-9) + 1):  # words of its own
+            d = np.floor((n - a) * (1 - self.threshold) / self.threshold + 1e-9).astype(np.int64)
+            out = np.where(a <= d, np.maximum(out, d + 2 + a), out)
+        return np.minimum(out, n)
 
 
 # ---------------------------------------------------------------- records
@@ -119,95 +123,59 @@ def _suffix_array(symbols: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def _run_codes(symbols: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of the run of ``length`` symbols from each position on; 0 where one of them is not positive."""
-    n = len(symbols)
-    factor = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64)
-    code, ok = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(length):
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - k)] = symbols[k:]
-        code = (code + ahead.view(np.uint64)) * factor
-        code ^= code >> np.uint64(29)
-        ok &= ahead > 0
-    return np.where(ok, code | np.uint64(1), np.uint64(0))
-
-
-def _rare_sets(symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rank: np.ndarray, search: Search) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(words per set, texts, codes) of the sets of rarest words of which similar texts share one.
-
-    Texts of up to ``long`` distinct words meet by sets of ``together`` words; a pair with a longer text by single ones,
-    as the sets of a long text are too many. Words that are not positive stand first in the order and meet nothing.
-    """
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.concatenate([starts, [len(symbols)]])))
-    at = symbols > 0
-    at[starts + 1] = False
-    code = np.sort(owner[at] * len(rank) + rank[symbols[at]])
-    code = code[np.concatenate([[True], code[1:] != code[:-1]])] if len(code) else code
-    own, word = code // len(rank), code % len(rank)
-    held = np.bincount(own, minlength=len(starts))
-    first = np.cumsum(held) - held
-    least = np.ceil(search.threshold * sizes - 1e-9).astype(np.int64)
-    for size, takes_part in ((search.together, sizes <= search.long), (1, sizes >= search.threshold * search.long - 1e-9)):
-        kept = np.where(takes_part, np.minimum(held, sizes - least + size - (sizes - held)), 0)
-        for k in np.unique(kept[kept >= size]).tolist():
-            group = np.flatnonzero(kept == k)
-            sets = np.array(list(itertools.combinations(range(k), size)))
-            for some in np.array_split(group, 1 + len(group) * len(sets) // 4_000_000):
-                run = word[first[some][:, None] + np.arange(k)].astype(np.uint64)
-                codes = np.zeros((len(some), len(sets)), np.uint64)
-                for j in range(size):
-                    codes = (codes + run[:, sets[:, j]] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                    codes ^= codes >> np.uint64(29)
-                yield size, np.repeat(some, len(sets)), codes.ravel()
+def _laid_out(owner: np.ndarray, symbols: np.ndarray, zone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, symbol) of what stands within the zones, for distinct symbols in order of text and symbol."""
+    starts = np.searchsorted(owner, np.arange(len(zone)))
+    keep = np.arange(len(owner)) - starts[owner] < zone[owner]
+    return owner[keep], symbols[keep]
 
 
 class Index:
-    """Backward search over the texts of one shard; symbol 0 separates texts, the symbol after it is the folded hash."""
+    """Backward search over the texts of one shard: symbol 0 parts texts, the others are its words, rarest first."""
 
-    def __init__(self, vocabulary: list[str], symbols: np.ndarray, suffixes: np.ndarray, occurrences: np.ndarray, starts: np.ndarray, doc: dict[str, np.ndarray]) -> None:
+    def __init__(self, vocabulary: list[str], parts: dict[str, np.ndarray]) -> None:
         self.ids = {w: k + 1 for k, w in enumerate(vocabulary)}
-        self.symbols, self.suffixes, self.starts, self.doc = symbols, suffixes, starts, doc
-        self.n = len(symbols)
-        counts = np.bincount(symbols, minlength=len(vocabulary) + 1)
+        self.parts = parts
+        self.suffixes, self.before, self.starts = parts["suffixes"], parts["before"], parts["starts"].astype(np.int64)
+        self.n, self.size = len(self.suffixes), len(self.starts)
+        counts = np.bincount(self.before, minlength=len(vocabulary) + 2)
         self.first = np.concatenate([[0], np.cumsum(counts)])
         # ascending rows of each symbol in the transform; symbol * n + row makes one sorted array of them
-        self.rows = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * self.n + occurrences
-
-    def jump(self, short: int) -> None:
-        """The interval of every run of ``short`` symbols within a text, by a hash that is free of collisions here."""
-        for seed in range(1, 100):
-            codes = _run_codes(self.symbols, short, seed)[self.suffixes]
-            at = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.empty(0, np.int64)
-            till = np.concatenate([at[1:], [len(codes)]]) if len(at) else at
-            valid = codes[at] != 0
-            order = np.argsort(codes[at][valid], kind="stable")
-            self.jump_codes = codes[at][valid][order]
-            if not (self.jump_codes[1:] == self.jump_codes[:-1]).any():
-                self.jump_low, self.jump_high, self.jump_seed, self.short = at[valid][order], till[valid][order], seed, short
-                return
-        raise ValueError("no seed without collisions")
+        self.rows = np.repeat(np.arange(len(counts), dtype=np.int64), counts) * self.n + parts["rows"]
+        self.text_of = (np.searchsorted(self.starts, np.arange(self.n), "right") - 1)[self.suffixes]
+        self.words, self.bounds = parts["words"], parts["bounds"].astype(np.int64)
+        self.sketch, self.sizes = parts["sketch"].view(np.uint64), parts["n"].astype(np.int64)
+        self.fold_order = np.argsort(parts["fold"], kind="stable")
+        self.folds = parts["fold"][self.fold_order]
 
     @classmethod
-    def build(cls, texts: list[str], folds: np.ndarray, doc: dict[str, np.ndarray]) -> "Index":
-        ids: dict[str, int] = {}
-        flat: list[int] = []
-        starts = np.empty(len(texts), np.int64)
-        for k, (text, fold) in enumerate(zip(texts, folds)):
-            starts[k] = len(flat)
-            flat.append(0)
-            flat.append(ids.setdefault(f"\0{fold}", len(ids) + 1))
-            flat.extend([ids.setdefault(w, len(ids) + 1) for w in text.split(" ")])
-        symbols = np.array(flat, np.int32)
-        suffixes = _suffix_array(symbols)
-        before = symbols[suffixes - 1]  # row 0 of text 0 wraps to the last symbol, as the transform does
-        occurrences = np.argsort(before, kind="stable")
-        return cls(list(ids), symbols, suffixes, occurrences, starts, doc)
+    def build(cls, texts: list[str], doc: dict[str, np.ndarray], search: Search = Search()) -> "Index":
+        """From texts as words between blanks and (h, g, fold, sketch, n) of each."""
+        found: dict[str, int] = {}
+        runs = [t.split(" ") for t in texts]
+        flat = np.fromiter((found.setdefault(w, len(found)) for run in runs for w in run), np.int64)
+        bounds = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
+        owner = np.repeat(np.arange(len(runs)), np.diff(bounds))
+        once = np.unique(owner * max(1, len(found)) + flat)
+        own, word = once // max(1, len(found)), once % max(1, len(found))
+        order = np.argsort(np.bincount(word, minlength=len(found)), kind="stable")
+        symbol = np.empty(len(found), np.int64)
+        symbol[order] = np.arange(1, len(found) + 1)
+        names = list(found)
+        own, sym = (lambda c: (c // (len(found) + 1), c % (len(found) + 1)))(np.sort(own * (len(found) + 1) + symbol[word]))
+        own, sym = _laid_out(own, sym, search.zone(np.bincount(own, minlength=len(runs))))
+        held = np.bincount(own, minlength=len(runs))
+        starts = np.cumsum(held + 1) - held - 1
+        laid = np.zeros(len(own) + len(runs), np.int32)
+        laid[np.arange(len(own)) + own + 1] = sym
+        suffixes = _suffix_array(laid)
+        before = laid[suffixes - 1]  # row 0 of text 0 wraps to the last symbol, as the transform does
+        parts = {"suffixes": suffixes.astype(np.uint32), "before": before, "rows": np.argsort(before, kind="stable").astype(np.uint32), "starts": starts.astype(np.uint32), "words": symbol[flat].astype(np.int32), "bounds": bounds}
+        return cls([names[k] for k in order], parts | doc)
 
     def packed(self) -> bytes:
-        parts = {"symbols": self.symbols.astype(np.int32), "suffixes": self.suffixes.astype(np.uint32), "rows": (self.rows % max(1, self.n)).astype(np.uint32), "starts": self.starts.astype(np.uint32)} | {f"doc_{k}": v for k, v in self.doc.items()}
         out = io.BytesIO()
-        np.savez(out, **parts)
+        np.savez(out, **self.parts)
         words_ = json.dumps(list(self.ids)).encode()
         return zstandard.ZstdCompressor(level=1).compress(len(words_).to_bytes(8, "little") + words_ + out.getvalue())
 
@@ -215,101 +183,47 @@ class Index:
     def unpacked(cls, blob: bytes) -> "Index":
         raw = zstandard.ZstdDecompressor().decompress(blob)
         size = int.from_bytes(raw[:8], "little")
-        vocabulary = json.loads(raw[8 : 8 + size])
         with np.load(io.BytesIO(raw[8 + size :])) as parts:
-            doc = {k[4:]: parts[k] for k in parts.files if k.startswith("doc_")}
-            return cls(vocabulary, parts["symbols"], parts["suffixes"], parts["rows"].astype(np.int64), parts["starts"].astype(np.int64), doc)
+            return cls(json.loads(raw[8 : 8 + size]), {k: parts[k] for k in parts.files})
 
-    def runs(self, queries: np.ndarray, full: int, short: int, rare: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(end, low, high, length): for each end position in ``queries`` the accepted run of equal symbols before it.
+    def extended(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One step of backward search: the rows of symbol + what the rows low to high begin with."""
+        base = symbols * self.n
+        return np.searchsorted(self.rows, base + low), np.searchsorted(self.rows, base + high)
 
-        Unknown symbols and separators are not positive and end every run.
+    def matches(self, owner: np.ndarray, symbols: np.ndarray, hits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, text) of the maximal matches of two words or more, about ``hits`` occurrences at a time.
+
+        ``symbols`` are known words of each query in order; an occurrence that the word before extends belongs to a
+        match that begins there.
         """
-        if getattr(self, "short", None) != short:
-            self.jump(short)
-        out: list[tuple[np.ndarray, ...]] = []
-        codes = _run_codes(queries, short, self.jump_seed)
-        first = np.flatnonzero(codes)
-        spot = np.searchsorted(self.jump_codes, codes[first])
-        spot[spot == len(self.jump_codes)] = 0
-        hit = self.jump_codes[spot] == codes[first] if len(self.jump_codes) else np.zeros(len(first), bool)
-        first, spot = first[hit], spot[hit]
-        end, low, high = first + short - 1, self.jump_low[spot], self.jump_high[spot]
-        for length in range(short, full + 1):
-            if length > short:
-                pos = end - (length - 1)
-                prev = np.where(pos >= 0, queries[pos], -1)
-                keep = prev > 0
-                end, low, high, base = end[keep], low[keep], high[keep], prev[keep].astype(np.int64) * self.n
-                low, high = np.searchsorted(self.rows, base + low), np.searchsorted(self.rows, base + high)
-                keep = high > low
-                end, low, high = end[keep], low[keep], high[keep]
-            done = (high - low <= rare) | (length == full)
-            if done.any():
-                out.append((end[done], low[done], high[done], np.full(int(done.sum()), length)))
-                end, low, high = end[~done], low[~done], high[~done]
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in range(4))
-
-    def rare(self, search: Search) -> None:
-        """For each size of sets their codes in order with the texts that have them, and a bit table of the codes."""
-        if getattr(self, "rare_for", None) == search:
-            return
-        counts = np.bincount(self.symbols, minlength=len(self.ids) + 1)
-        self.rank = np.empty(len(counts), np.int64)
-        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for size, texts, codes in _rare_sets(self.symbols, self.starts, self.doc["n"].astype(np.int64), self.rank, search):
-            found.setdefault(size, []).append((codes, texts.astype(np.int32)))
-        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, parts in found.items():
-            codes, texts = np.concatenate([c for c, _ in parts]), np.concatenate([t for _, t in parts])
-            parts.clear()
-            order = np.argsort(codes)
-            codes, texts = codes[order], texts[order]
-            bits = np.zeros(1 << max(10, len(codes).bit_length() + 2), bool)
-            bits[codes & np.uint64(len(bits) - 1)] = True
-            self.sets[size] = codes, texts, bits
-        self.rare_for = search
-
-    def similar(self, queries: np.ndarray, starts: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, search: Search) -> np.ndarray:
-        """query * texts + text, in order, of all pairs that share a set of rarest words and pass the sketch bound."""
-        self.rare(search)
-        slack = (1 - search.threshold) / (1 + search.threshold)
-        sketches, own = self.doc["sketch"].view(np.uint64), self.doc["n"].astype(np.int64)
-        out = [np.empty(0, np.int64)]
-        for size, who, codes in _rare_sets(queries, starts, sizes, self.rank, search):
-            if size not in self.sets:
-                continue
-            known, texts, bits = self.sets[size]
-            hit = bits[codes & np.uint64(len(bits) - 1)]
-            who, codes = who[hit], codes[hit]
-            low = np.searchsorted(known, codes)
-            count = np.searchsorted(known, codes, "right") - low
-            who, low, count = who[count > 0], low[count > 0], count[count > 0]
-            total, begin = np.cumsum(count), 0
-            while begin < len(count):  # about ``hits`` meetings at a time
-                cut = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + search.hits, "right")))
-                c = count[begin:cut]
-                q = np.repeat(who[begin:cut], c)
-                text = texts[np.arange(len(q)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:cut], c)]
-                near = np.bitwise_count(sketch[q] ^ sketches[text]) <= (sizes[q] + own[text]) * slack + 1e-9
-                out.append(np.unique(q[near] * len(self.starts) + text[near]))
-                begin = cut
-        return np.unique(np.concatenate(out))
-
-    def texts_of(self, rows: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, self.suffixes[rows], "right") - 1
+        end = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        pairs, which = np.unique(symbols[end - 1] * len(self.first) + symbols[end], return_inverse=True)
+        left, right = pairs // len(self.first), pairs % len(self.first)
+        low, high = self.extended(left, self.first[right], self.first[right + 1])
+        low, count = low[which], (high - low)[which]
+        some = count > 0
+        end, low, count = end[some], low[some], count[some]
+        prev = np.where((end >= 2) & (owner[end - 2] == owner[end]), symbols[end - 2], -1)
+        who, total, begin = owner[end], np.cumsum(count), 0
+        while begin < len(count):
+            cut = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + hits, "right")))
+            c = count[begin:cut]
+            row = np.arange(int(c.sum())) + np.repeat(low[begin:cut] - np.cumsum(c) + c, c)
+            fresh = self.before[row] != np.repeat(prev[begin:cut], c)
+            yield np.repeat(who[begin:cut], c)[fresh], self.text_of[row[fresh]]
+            begin = cut
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+    """Of a qualified path; the scheme s3a is the same store as s3."""
+    return pafs.FileSystem.from_uri(f"s3://{path[6:]}" if path.startswith("s3a://") else path)
 
 
-def _build_shard(folder: str):
+def _build_shard(folder: str, search: Search):
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["h", "g"]).reset_index(drop=True)
-        doc = {k: b[k].to_numpy() for k in ("h", "g", "n", "sketch")}
-        index = Index.build(list(b["words"]), b["fold"].to_numpy(), doc)
+        index = Index.build(list(b["words"]), {k: b[k].to_numpy() for k in ("h", "g", "fold", "n", "sketch")}, search)
         fs, path = _filesystem(folder)
         fs.create_dir(path, recursive=True)
         final, partial = f"{path}/{int(b['shard'].iloc[0])}.idx", f"{path}/{int(b['shard'].iloc[0])}-{id(b)}.part"
@@ -319,38 +233,41 @@ def _build_shard(folder: str):
             fs.move(partial, final)
         else:  # the task ran before; its bytes are the same
             fs.delete_file(partial)
-        return pd.DataFrame({"shard": [int(b["shard"].iloc[0])], "texts": [len(b)], "symbols": [index.n]})
+        return pd.DataFrame({"shard": [int(b["shard"].iloc[0])], "texts": [len(b)]})
 
     return run
 
 
-def build_index(evaluation: DataFrame, search: Search) -> tuple[str, int]:
-    """(folder, number of shards) of the index over the distinct evaluation texts (h, g, fold, sketch, n, words)."""
-    folder = fresh_path(evaluation.sparkSession, "index")
-    size = F.size(F.split("words", " ")) + 2
-    total = evaluation.agg(F.sum(size)).first()[0]
+def build_index(evaluation: DataFrame, search: Search) -> tuple[str, list[int]]:
+    """(folder, shards) of the index over the distinct evaluation texts (h, g, fold, sketch, n, words)."""
+    spark = evaluation.sparkSession
+    folder = qualified(spark, fresh_path(spark, "index"))
+    total = evaluation.agg(F.sum(F.size(F.split("words", " ")))).first()[0]
     if not total:
-        return folder, 0
+        return folder, []
+    _filesystem(folder)  # a store that tasks can't open raises here
     shards = -(-int(total) // search.shard_words)
     dealt = evaluation.withColumn("shard", F.pmod("g", F.lit(shards)).cast("int"))
-    dealt.groupBy("shard").applyInPandas(_build_shard(folder), "shard int, texts long, symbols long").collect()  # one row per shard
-    return folder, shards
+    built = dealt.groupBy("shard").applyInPandas(_build_shard(folder, search), "shard int, texts long").collect()  # one row per shard
+    fs, path = _filesystem(folder)
+    for r in built:
+        if fs.get_file_info(f"{path}/{r['shard']}.idx").type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"{folder}/{r['shard']}.idx: the folder of spark.checkpoint.dir is not shared by driver and executors")
+    return folder, sorted(r["shard"] for r in built)
 
 
 # ---------------------------------------------------------------- search
 
 
 @lru_cache(maxsize=1)
-def _read_shard(folder: str, shard: int) -> Index | None:
+def _read_shard(folder: str, shard: int) -> Index:
     fs, path = _filesystem(f"{folder}/{shard}.idx")
-    if fs.get_file_info(path).type == pafs.FileType.NotFound:  # no text was dealt to it
-        return None
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path) as f:  # a shard that is not there raises
         return Index.unpacked(f.read())
 
 
 def _matched(mine: list[int], theirs: list[int], short: int) -> tuple[int, int]:
-    """The words of ``mine`` within runs of ``short`` words that are in ``theirs`` too, and the stretches they form."""
+    """The words of ``mine`` within matches of ``short`` or more words with ``theirs``, and the stretches they form."""
     runs = set(zip(*(theirs[k:] for k in range(short))))
     covered = spans = till = 0
     for k, run in enumerate(zip(*(mine[j:] for j in range(short)))):
@@ -362,108 +279,123 @@ def _matched(mine: list[int], theirs: list[int], short: int) -> tuple[int, int]:
 
 
 class Block:
-    """Training texts as codes into the block's own vocabulary; each text takes two places more at its start."""
+    """Distinct training texts as codes into the block's own vocabulary."""
 
     def __init__(self, b: pd.DataFrame) -> None:
-        self.ids, self.folds = list(b["id"]), [f"\0{f}" for f in b["fold"]]
+        self.h, self.g, self.fold = (b[c].to_numpy() for c in ("h", "g", "fold"))
         self.sketch, self.n = b["sketch"].to_numpy().view(np.uint64), b["n"].to_numpy().astype(np.int64)
         codes: dict[str, int] = {}
-        flat: list[int] = []
-        starts = []
-        for run in b["words"]:
-            starts.append(len(flat))
-            flat += (0, 0)
-            flat += [codes.setdefault(w, len(codes)) for w in run.split(" ")]
-        self.words, self.codes, self.starts = list(codes), np.array(flat, np.int64), np.array(starts, np.int64)
-        self.bounds = np.concatenate([self.starts, [len(flat)]])
-
-    def symbols(self, index: Index) -> np.ndarray:
-        known = np.fromiter((index.ids.get(w, -1) for w in self.words), np.int64, len(self.words))
-        out = known[self.codes]
-        out[self.starts] = -1
-        out[self.starts + 1] = np.fromiter((index.ids.get(f, -1) for f in self.folds), np.int64, len(self.folds))
-        return out
+        runs = [w.split(" ") for w in b["words"]]
+        self.codes = np.fromiter((codes.setdefault(w, len(codes)) for run in runs for w in run), np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
+        self.words = list(codes)
+        once = np.unique(np.repeat(np.arange(len(runs)), np.diff(self.bounds)) * max(1, len(codes)) + self.codes)
+        self.owner, self.once = once // max(1, len(codes)), once % max(1, len(codes))
+
+    def known(self, index: Index) -> np.ndarray:
+        """The symbol of each word of the vocabulary, -1 for words that the shard does not hold."""
+        return np.fromiter((index.ids.get(w, -1) for w in self.words), np.int64, len(self.words))
 
 
 def _match_block(index: Index, block: Block, search: Search) -> list[tuple]:
-    queries, starts = block.symbols(index), block.starts
-    end, low, high, _ = index.runs(queries, search.full, search.short, search.rare)
-    owner = np.searchsorted(starts, end, "right") - 1
-    equal = np.flatnonzero(queries[starts + 1] > 0)  # the folded text is there
-    sym = queries[starts[equal] + 1]
-    owner, low, high = np.concatenate([owner, equal]), np.concatenate([low, index.first[sym]]), np.concatenate([high, index.first[sym + 1]])
-    counts = high - low
-
-    slack = (1 - search.threshold) / (1 + search.threshold)
-    sketches, sizes = index.doc["sketch"].view(np.uint64), index.doc["n"].astype(np.int64)
-    bounds = np.concatenate([index.starts, [index.n]])
+    known = block.known(index)
+    sym = known[block.once]
+    own, sym = block.owner[sym > 0], sym[sym > 0]
+    code = np.sort(own * len(index.first) + sym)
+    own, sym = code // len(index.first), code % len(index.first)
+    unknown = block.n - np.bincount(own, minlength=len(block.n))  # these stand first in the order and match nothing
+    own, sym = _laid_out(own, sym, search.zone(block.n) - unknown)
+
+    slack = (1 - search.threshold) / (1 + search.threshold)  # sets of n and m words differ in (n + m) * slack at most
+    own_slack, text_slack = (block.n * slack + 1e-3).astype(np.float32), (index.sizes * slack).astype(np.float32)
+    low, high = np.searchsorted(index.folds, block.fold), np.searchsorted(index.folds, block.fold, "right")
+    equal = np.repeat(np.arange(len(low)), high - low)
+    spot = np.arange(len(equal)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    pairs = [equal * index.size + index.fold_order[spot]]  # equal folded texts, whatever their words
+    for q, text in index.matches(own, sym, search.hits):
+        near = np.flatnonzero(np.bitwise_count(block.sketch[q] ^ index.sketch[text]) <= own_slack[q] + text_slack[text])
+        q, text = q[near], text[near]
+        n, m = block.n[q], index.sizes[text]
+        near = np.minimum(n, m) >= search.threshold * np.maximum(n, m) - 1e-9
+        pairs.append(np.unique(q[near] * index.size + text[near]))
     out: list[tuple] = []
-    pairs = [index.similar(queries, starts, block.n, block.sketch, search)]
-    total, begin = np.cumsum(counts), 0
-    while begin < len(counts):  # about ``hits`` located runs at a time
-        cut = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + search.hits, "right")))
-        c = counts[begin:cut]
-        text = index.texts_of(np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[begin:cut], c))
-        t = np.repeat(owner[begin:cut], c)
-        near = np.bitwise_count(block.sketch[t] ^ sketches[text]) <= (block.n[t] + sizes[text]) * slack + 1e-9
-        near |= index.symbols[index.starts[text] + 1] == queries[starts[t] + 1]  # equal folded texts, whatever their words
-        pairs.append(np.unique(t[near] * len(index.starts) + text[near]))
-        begin = cut
     for code in np.unique(np.concatenate(pairs)).tolist():
-        x, y = divmod(code, len(index.starts))
-        mine, theirs = queries[starts[x] + 2 : block.bounds[x + 1]].tolist(), index.symbols[bounds[y] + 2 : bounds[y + 1]].tolist()
+        x, y = divmod(code, index.size)
+        mine, theirs = known[block.codes[block.bounds[x] : block.bounds[x + 1]]].tolist(), index.words[index.bounds[y] : index.bounds[y + 1]].tolist()
         both = len(set(mine).intersection(theirs))
-        similarity = both / (int(block.n[x]) + int(sizes[y]) - both)
-        equal = index.symbols[bounds[y] + 1] == queries[starts[x] + 1]
-        if similarity >= search.threshold - 1e-12 or equal:
-            matched, spans = (len(mine), 1) if equal else _matched(mine, theirs, search.short)
-            out.append((block.ids[x], int(index.doc["h"][y]), int(index.doc["g"][y]), matched, spans, similarity))
+        similarity = both / (int(block.n[x]) + int(index.sizes[y]) - both)
+        same = block.fold[x] == index.parts["fold"][y]
+        if similarity >= search.threshold - 1e-12 or same:
+            matched, spans = (len(mine), 1) if same else _matched(mine, theirs, search.short)
+            out.append((int(block.h[x]), int(block.g[x]), int(index.parts["h"][y]), int(index.parts["g"][y]), matched, spans, similarity))
     return out
 
 
-def _stream(folder: str, shards: int, search: Search):
+_FOUND = "th long, tg long, h long, g long, matched_words int, spans int, similarity double"
+
+
+def _stream(folder: str, shards: list[int], search: Search):
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def blocks() -> Iterator[pd.DataFrame]:
-            held, size = [], 0
+            held: list[pd.DataFrame] = []
+            seen: set[int] = set()
+            size = 0
             for b in batches:
-                held.append(b)
-                size += len(b)
-                if size >= search.block:
-                    yield pd.concat(held, ignore_index=True)
-                    held, size = [], 0
+                for k in range(0, len(b), 1000):  # texts may be long, so blocks end by their words
+                    part = b.iloc[k : k + 1000].drop_duplicates(["h", "g"])
+                    part = part[[h not in seen for h in part["h"]]]
+                    seen.update(part["h"])
+                    held.append(part)
+                    size += int(part["words"].str.count(" ").sum()) + len(part)
+                    if size >= search.shard_words:
+                        yield pd.concat(held, ignore_index=True)
+                        held, size = [], 0
+                        seen = set()
             if size:
                 yield pd.concat(held, ignore_index=True)
 
         for b in blocks():
             block = Block(b)
-            for shard in range(shards):
-                index = _read_shard(folder, shard)
-                if index is not None:
-                    rows = _match_block(index, block, search)
-                    yield pd.DataFrame(rows, columns=["train_id", "h", "g", "matched_words", "spans", "similarity"]).astype({"h": "int64", "g": "int64"})
+            for shard in shards:
+                rows = _match_block(_read_shard(folder, shard), block, search)
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")]).astype({c: "int64" for c in ("th", "tg", "h", "g")})
 
     return run
 
 
-def overlaps(records: DataFrame, search: Search = Search()) -> DataFrame:
-    """(train_id, eval_id, train_source, eval_source, eval_split, matched_words, spans, similarity) of records
-    (id, source, split, text) whose split is train, val or test."""
+@dataclass
+class Overlaps:
+    records: DataFrame  #: (id, source, split, h, g) of all that take part; h and g name the class of equal texts
+    matches: DataFrame  #: (th, tg, h, g, matched_words, spans, similarity), one row per training and evaluation class
+
+
+def search(records: DataFrame, how: Search = Search()) -> Overlaps:
+    """The overlapping classes of records (id, source, split, text) whose split is train, val or test."""
     rows = records.where("id is not null and text is not null and split in ('train', 'val', 'test')").dropDuplicates(["id"])
-    kept = written(tokenised(rows, search.min_words), "tokens")
+    kept = written(tokenised(rows, how.min_words), "tokens")
     held = kept.where("split <> 'train'")
     distinct = held.groupBy("h", "g", "fold").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "words")])
-    folder, shards = build_index(distinct, search)
-    train = kept.where("split = 'train'").select("id", "source", "fold", "sketch", "n", "words")
-    kinds = "train_id string, h long, g long, matched_words int, spans int, similarity double"
-    found = train.drop("source").mapInPandas(_stream(folder, shards, search), kinds)
-    found = found.groupBy("train_id", "h", "g").agg(F.max("matched_words").alias("matched_words"), F.max("spans").alias("spans"), F.max("similarity").alias("similarity"))
-    found = written(found, "matches")
-    sources = train.select(F.col("id").alias("train_id"), F.col("source").alias("train_source"))
-    texts = held.select("h", "g", F.col("id").alias("eval_id"), F.col("source").alias("eval_source"), F.col("split").alias("eval_split"))
-    return found.join(texts, ["h", "g"]).join(sources, "train_id").select(
+    folder, shards = build_index(distinct, how)
+    train = kept.where("split = 'train'").select("h", "g", "fold", "sketch", "n", "words")
+    found = train.mapInPandas(_stream(folder, shards, how), _FOUND).dropDuplicates(["th", "tg", "h", "g"])  # a class may be in several blocks
+    return Overlaps(kept.select("id", "source", "split", "h", "g"), written(found, "matches"))
+
+
+def overlaps(records: DataFrame, how: Search = Search()) -> DataFrame:
+    """(train_id, eval_id, train_source, eval_source, eval_split, matched_words, spans, similarity), one row per pair of records."""
+    found = search(records, how)
+    train = found.records.where("split = 'train'").select(F.col("h").alias("th"), F.col("g").alias("tg"), F.col("id").alias("train_id"), F.col("source").alias("train_source"))
+    held = found.records.where("split <> 'train'").select("h", "g", F.col("id").alias("eval_id"), F.col("source").alias("eval_source"), F.col("split").alias("eval_split"))
+    return found.matches.join(held, ["h", "g"]).join(train, ["th", "tg"]).select(
         "train_id", "eval_id", "train_source", "eval_source", "eval_split", "matched_words", "spans", "similarity")
 
 
-def report(found: DataFrame) -> DataFrame:
-    """(split, source, n_records, n_overlaps): evaluation records met again in train, and the pairs they are in."""
-    return found.groupBy(F.col("eval_split").alias("split"), F.col("eval_source").alias("source")).agg(F.countDistinct("eval_id").alias("n_records"), F.count("*").alias("n_overlaps"))
+def report(found: Overlaps) -> DataFrame:
+    """(split, source, n_records, n_overlaps): evaluation records met again in train, and the pairs they are in.
+
+    Pairs are counted by class: training copies x evaluation copies, without naming them.
+    """
+    copies = found.records.where("split = 'train'").groupBy(F.col("h").alias("th"), F.col("g").alias("tg")).agg(F.count("*").alias("copies"))
+    met = found.matches.select("th", "tg", "h", "g").join(copies, ["th", "tg"]).groupBy("h", "g").agg(F.sum("copies").alias("met"))
+    held = found.records.where("split <> 'train'").groupBy("h", "g", "split", "source").agg(F.count("*").alias("n"))
+    return held.join(met, ["h", "g"]).groupBy("split", "source").agg(F.sum("n").alias("n_records"), F.sum(F.col("n") * F.col("met")).alias("n_overlaps"))

@@ -126,7 +126,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.report(overlaps.overlaps(_split_records(spark, d)))
+    return overlaps.report(overlaps.search(_split_records(spark, d)))
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -170,7 +170,7 @@ def test_overlaps_by_shards_and_blocks(spark, texts):
     rows = [(i, "s", r.choice(["train", "val"]), t) for i, t in texts]
     df = spark.createDataFrame(rows, "id string, source string, split string, text string")
     one = {tuple(x) for x in overlaps.overlaps(df).select("train_id", "eval_id", "matched_words").collect()}
-    small = overlaps.Search(shard_words=300, block=7, hits=50)
+    small = overlaps.Search(shard_words=300, hits=50)
     assert {tuple(x) for x in overlaps.overlaps(df, small).select("train_id", "eval_id", "matched_words").collect()} == one and one
 
 
@@ -180,20 +180,41 @@ def test_overlaps_with_one_side(spark, only):
     assert overlaps.overlaps(spark.createDataFrame(rows, "id string, source string, split string, text string")).count() == 0
 
 
-def test_index_finds_every_run():
+def test_index_finds_every_maximal_match():
     import numpy as np
 
     r = random.Random(4)
-    docs = [" ".join(r.choice(NOUNS[:5]) for _ in range(r.randrange(8, 30))) for _ in range(40)]
-    docs = sorted(set(docs))
-    index = overlaps.Index.unpacked(overlaps.Index.build(docs, np.arange(len(docs)), {"n": np.zeros(len(docs))}).packed())
-    query = [r.choice(NOUNS[:5]) for _ in range(60)]
-    end, low, high, length = index.runs(np.array([index.ids[w] for w in query]), 5, 4, 2)
-    for e, a, b, n in zip(end, low, high, length):
-        run = query[e - n + 1 : e + 1]
-        want = sum(d.split()[k : k + n] == run for d in docs for k in range(len(d.split())))
-        assert want == b - a
-    assert len(end)
+    docs = sorted({" ".join(r.choice(NOUNS[:14]) for _ in range(r.randrange(8, 30))) for _ in range(40)})
+    n = np.array([len(set(d.split())) for d in docs])
+    how = overlaps.Search(threshold=0.3)
+    index = overlaps.Index.unpacked(overlaps.Index.build(docs, {"h": n, "g": n, "fold": n, "n": n, "sketch": n}, how).packed())
+    names = dict(zip(index.ids.values(), index.ids))
+    laid = [sorted(index.ids[w] for w in set(d.split()))[:z] for d, z in zip(docs, how.zone(n))]
+    query = sorted(r.sample(sorted(names), 10))
+    for hits in (3, 10_000):
+        got = sorted(t for _, text in index.matches(np.zeros(10, np.int64), np.array(query), hits) for t in text.tolist())
+        want = []
+        for k, own in enumerate(laid):
+            runs = [i for i in range(9) for j in range(len(own) - 1) if own[j : j + 2] == query[i : i + 2]]
+            want += [k for i in runs if i - 1 not in runs]
+        assert got == sorted(want) and len(want) > 10
+
+
+@pytest.mark.parametrize("n", [8, 9, 13, 20, 37, 64])
+def test_zone_holds_two_neighbours_of_every_similar_text(n):
+    import numpy as np
+
+    r = random.Random(n)
+    zone = lambda k: int(overlaps.Search().zone(np.array([k]))[0])
+    for _ in range(3000):
+        a = r.randrange(0, n // 5 + 1)
+        b = r.randrange(0, int((n - a) / 4 + 1e-9) - a + 1) if (n - a) // 4 >= a else 0
+        if (n - a) / (n + b) < 0.8:
+            continue
+        order = r.sample(range(10 * n), n + b)
+        x, y = sorted(order[:n]), sorted(order[a:])
+        runs = lambda s: set(zip(s, s[1:]))
+        assert runs(x[: zone(n)]) & runs(y[: zone(len(y))])
 
 
 def test_splits_read_in_any_spelling(spark):
@@ -219,11 +240,30 @@ def test_overlaps_without_a_shared_run(spark):
     df = spark.createDataFrame(rows, "id string, source string, split string, text string")
     known = {i: (s, t) for i, _, s, t in rows}
     want = {(a, b) for a, b in itertools.product(sorted(known), repeat=2) if known[a][0] == "train" and known[b][0] == "val" and similar(known[a][1], known[b][1])}
-    for small in ({}, {"rare": 1}, {"shard_words": 300, "block": 7, "hits": 20, "long": 20}):
+    for small in ({}, {"shard_words": 300, "hits": 20}):
         assert {(x["train_id"], x["eval_id"]) for x in overlaps.overlaps(df, overlaps.Search(**small)).collect()} == want
     assert len(want) >= 40
 
 
+def test_overlaps_of_a_template_letter_spaced_joined_and_reordered_texts(spark):
+    base = "we lift the shell and the marble near a seed before lunch while friends wait outside".split()
+    rows = [("t0", "s", "train", " ".join(base)), ("t1", "s", "train", "today we all put the ice cream next to that warm lamp and the rain coat")]
+    rows += [(f"v{k:02d}", f"s{k % 2}", "val", " ".join([*base, f"odd{k}"])) for k in range(40)]
+    rows += [("r0", "s", "test", " ".join(reversed(base))), ("l0", "s", "test", " ".join(" ".join(w) for w in base)), ("j0", "s", "val", "today we all put the icecream nextto that warmlamp and the raincoat")]
+    df = spark.createDataFrame(rows, "id string, source string, split string, text string")
+    want = {("t0", i) for i, *_ in rows[2:-1] if i != "l0"} | {("t1", "j0")}  # letter-spaced, a text has few different words
+    for how in (overlaps.Search(), overlaps.Search(shard_words=40, hits=5)):
+        assert {(x["train_id"], x["eval_id"]) for x in overlaps.overlaps(df, how).collect()} == want | {("t0", "l0")}
+    copies = df.union(df.where("id = 't0'").withColumn("id", F.lit("t9"))).union(df.where("id = 'v01'").withColumn("id", F.lit("v99")))
+    found = {(x["split"], x["source"]): (x["n_records"], x["n_overlaps"]) for x in overlaps.report(overlaps.search(copies)).collect()}
+    assert found == {("val", "s0"): (20, 40), ("val", "s1"): (21, 42), ("test", "s"): (2, 4), ("val", "s"): (1, 1)}
+
+
+def test_a_missing_shard_is_no_empty_one(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        overlaps._read_shard(f"file://{tmp_path}", 3)
+
+
 def test_matched_words():
     assert overlaps._matched([1, 2, 3, 4, 5, 9, 9, 1, 2, 3, 4], [1, 2, 3, 4, 5], 4) == (9, 2) and overlaps._matched([1, 2], [1, 2], 4) == (0, 0)
     assert overlaps._matched([5, 1, 2, 3, 4, 6, 7, 8, 9], [6, 7, 8, 9, 0, 1, 2, 3, 4], 4) == (8, 1)
