@@ -285,8 +285,35 @@ def test_every_record_is_assigned(spark, tmp_path):
     assert family["u1"] == family["p1"] and len(set(family.values())) == 6
 
 
-def test_few_links_go_on_to_the_safe_depth(spark, texts, monkeypatch):
-    depths, candidates = [], nearest._candidates
-    monkeypatch.setattr(nearest, "_candidates", lambda sets, forest, depth: depths.append(depth) or candidates(sets, forest, depth))
-    nearest.near_duplicates(spark.createDataFrame(texts[:1], "id string, text string"))
-    assert depths == [nearest.Forest().safe_depth() + 1, nearest.Forest().safe_depth()]
+def test_a_crowded_prefix_gets_longer_ones(spark):
+    """A third of all texts holds the same 30 words and few of its own, so whole tries lie under one prefix."""
+    r = random.Random(5)
+    common = [f"same{k}" for k in range(30)]
+    texts = [" ".join(common + [f"own{k}x{j}" for j in range(r.choice([2, 8, 9]))]) for k in range(60)]
+    texts += [" ".join(f"far{k}x{j}" for j in range(12)) for k in range(20)] + [sentence(r) for _ in range(60)]
+    rows = [(f"i{k:03d}", t) for k, t in enumerate(texts)]
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(rows, 2) if similar(x, y)}
+    df = spark.createDataFrame(rows, "id string, text string")
+    for forest in (nearest.Forest(), nearest.Forest(crowd=12, levels=1), nearest.Forest(crowd=8, levels=2)):
+        found = nearest.near_duplicates(df, forest=forest)
+        assert {tuple(x) for x in nearest.pairs(found).collect()} == want and len(want) > 200
+        assert found.recall().first()["recall"] >= forest.target_recall
+
+
+def test_trees_reach_the_target_at_the_threshold():
+    for depth in (2, 4, 6):
+        f = nearest.Forest(depth=depth)
+        assert 1 - (1 - 0.8**depth) ** f.trees >= f.target_recall > 1 - (1 - 0.8**depth) ** (f.trees - 1)
+
+
+def test_meetings_are_all_pairs_of_a_node():
+    import numpy as np
+
+    f = nearest.Forest(threshold=0.01)
+    sizes = [1, 2, 47, 48, 49, 130, 300]
+    first = np.concatenate([np.arange(n) == 0 for n in sizes])
+    h = np.arange(sum(sizes))
+    got = [(int(a), int(b)) for x, y in nearest._meetings(h, np.full(len(h), 255, np.uint64), first, f) for a, b in zip(x, y)]
+    at = np.cumsum([0, *sizes])
+    want = {(a, b) for k in range(len(sizes)) for a, b in itertools.combinations(range(at[k], at[k + 1]), 2)}
+    assert len(got) == len(want) and {tuple(sorted(x)) for x in got} == want
