@@ -93,22 +93,27 @@ def _utterances(spark: SparkSession, d: str) -> DataFrame:
     return corpus.union(load(spark, d, "negatives").select("neg_id", "text"))
 
 
-def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with typed placeholders, and the types found."""
-    return pii.redacted(_utterances(spark, d), "id", "text")
+#: The key of the registered queries; a production run passes its own secret.
+_KEY = b"talkengine"
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_redacted(spark, d).select("id", F.explode("pii_types").alias("pii_type"))
+def _protected(spark: SparkSession, d: str) -> DataFrame:
+    return pii.protected(_utterances(spark, d), "id", "text", _KEY)
 
 
-#: The key of the registered query; a production run passes its own secret.
-_KEY = b"talkengine"
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with typed placeholders, and the types found."""
+    return _protected(spark, d).select("id", "redacted", "pii_types")
 
 
 def p5_surrogates(spark: SparkSession, d: str) -> DataFrame:
     """Texts with keyed surrogates in place of what is personal."""
-    return pii.surrogates(_utterances(spark, d), "id", "text", _KEY)
+    return _protected(spark, d).select("id", "surrogate_text")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The types of what was replaced by surrogates in each record."""
+    return _protected(spark, d).select("id", F.explode("pii_types").alias("pii_type"))
 
 
 def _split_records(spark: SparkSession, d: str) -> DataFrame:

@@ -94,9 +94,35 @@ def test_surrogates_are_consistent_and_distinct(spark):
 
 
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
-    monkeypatch.setattr(pii, "surrogate_word", lambda word, key, turn: "same" if turn == 0 else f"{word}{turn}")
+    monkeypatch.setattr(pii, "surrogate", lambda unit, word, key, turn: "same" if turn == 0 else "b" if turn == 1 else f"{word}{turn}")
     df = spark.createDataFrame([("word", w) for w in "abc"], "unit string, value string")
-    assert len({r["made"] for r in pii.unit_surrogates(df, b"k").collect()}) == 3
+    made = {r["value"]: r["made"] for r in pii.unit_surrogates(df, b"k").collect()}
+    assert set(made) == set("abc") and len(set(made.values())) == 3 and not set(made.values()) & set("abc")
+
+
+def test_surrogates_never_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "surrogate", lambda unit, word, key, turn: "same")
+    df = spark.createDataFrame([(u, w) for u in ("word", "house") for w in "123"], "unit string, value string")
+    made = {(r["unit"], r["value"]): r["made"] for r in pii.unit_surrogates(df, b"k", rounds=2).collect()}
+    assert len(made) == 6 and all(len({m for (x, _), m in made.items() if x == u}) == 3 for u in ("word", "house")) and "1" not in made.values()
+
+
+def test_surrogates_keep_what_is_one_and_part_what_is_not(spark):
+    rows = [(f"t{k}", t) for k, t in enumerate(TALK)]
+    rows += [("m1", "Write to velda.m1987@oak.test now."), ("m2", "Write to velda.m1987@elm.test now."), ("m3", "Write to 7421@oak.test now."), ("m4", "Write to velda.m1987 (at) oak dot test now."), ("m5", "Write to j@oak.test now.")]
+    rows += [("bo", "We told Bo Quillwick and J. Mossley to wait."), ("p1", "Call +1 208-555-0144 now."), ("p2", "Call 208-555-0144 now."), ("p3", "Call (208) 555.0145 ext. 12 now.")]
+    rows += [("a1", "She lives in 12 Takarmere Lane now."), ("a2", "She lives in 12 Takarmere Lane, Apt 7 now.")]
+    rows += [(f"h{k}", f"She lives in {k} Kettlemoor Lane now.") for k in range(1, 100)]
+    got = {r["id"]: (r["surrogate_text"], r["pii_types"], r["redacted"]) for r in pii.protected(spark.createDataFrame(rows, "id string, text string"), "id", "text", b"k").collect()}
+    mails = [got[f"m{k}"][0].split()[2] for k in (1, 2, 3, 5)]
+    assert len(set(mails)) == 4 and all(m.endswith("@example.org") and not any(x in m for x in ("velda", "1987", "7421", "oak", "elm")) for m in mails)
+    assert got["m4"][0].split()[2] == mails[0].split("@")[0] and got["m1"][1] == ["email"] and got["m1"][2] == "Write to [EMAIL] now."
+    assert "Quillwick" not in got["bo"][0] and "Mossley" not in got["bo"][0] and "J. " not in got["bo"][0] and got["t3"][0] != dict(rows)["t3"]
+    phone = {k: got[k][0][5:-5] for k in ("p1", "p2", "p3")}
+    assert phone["p1"] == f"+1 {phone['p2']}" != "+1 208-555-0144" and phone["p3"][1:4] == phone["p2"][:3] != "208" and phone["p3"][6:14].replace(".", "-") != phone["p2"][4:] and phone["p3"][15:19] == "ext."
+    assert got["a2"][0].startswith(got["a1"][0][:-5] + ", Apt ") and "Takarmere" not in got["a1"][0]
+    houses = [got[f"h{k}"][0].split()[3] for k in range(1, 100)]
+    assert len(set(houses)) == 99 and not {int(h) for h in houses if h[0] != "0"} & set(range(1, 100)) and len({got[f"h{k}"][0].split()[4] for k in range(1, 100)}) == 1
 
 
 def test_cut_only_over_capacity():
