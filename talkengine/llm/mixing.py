@@ -2,11 +2,14 @@
 
 The mixture is as large as the scarcest source allows: total = min over sources of tokens x max_repeats / share.
 It is counted in blocks of equal token numbers; the blocks go to sources, and a source's blocks to its shards, by
-highest quotients weight / (2k + 1). A shard lays its documents end to end in a seeded order; whole rounds are used
-first, then the blocks at the start of the order until the quota is met as nearly as whole documents allow.
+highest quotients weight / (2k + 1). A shard lays its documents end to end and cuts that into blocks, a document
+being of the block that its middle is in; whole rounds are used first, then blocks in a seeded order until the quota
+is met as nearly as whole documents allow.
 
-Scale: documents are dealt by hash to shards of about ``shard_tokens`` per source, so a source that holds a third of
-all rows is many shards; the driver sees one row per shard, and each shard's running sum is one bounded window.
+Scale: each source is dealt by hash to as many shards of about ``shard_tokens`` as it has tokens for, so a source that
+holds a third of all rows is many shards, and a small one few. Shards are apportioned in bundles of ``bundle``: the
+driver gives blocks to sources and their bundles (one row for 16 billion tokens), tasks give a bundle's to its
+shards. Each shard's running sums are bounded windows over one shuffle.
 
 Defined results: sources without target or without tokens take no part (the others' shares are scaled up), shares or
 caps that are null, zero or negative count as no target, documents without id, source or tokens are never used, a
@@ -18,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..plans.runtime import written
@@ -25,6 +29,7 @@ from ..plans.runtime import written
 SHARD_TOKENS = 4_000_000
 BLOCK_TOKENS = 1024
 LEAST_BLOCKS = 4096
+BUNDLE = 4096
 
 
 def apportion(weights: Mapping[str, float], seats: int) -> dict[str, int]:
@@ -53,26 +58,30 @@ def apportion(weights: Mapping[str, float], seats: int) -> dict[str, int]:
     return {k: 0 for k in weights} | out
 
 
-def quotas(shards: list[tuple[str, int, int]], targets: Mapping[str, tuple[float, int]], block_tokens: int = BLOCK_TOKENS) -> list[tuple[str, int, int]]:
-    """(source, shard, tokens to draw) from (source, shard, tokens) and source -> (share, max_repeats)."""
-    have: dict[str, int] = {}
-    for s, _, n in shards:
-        have[s] = have.get(s, 0) + n
+def quotas(held: Mapping[str, Mapping[int, int]], targets: Mapping[str, tuple[float, int]], block_tokens: int = BLOCK_TOKENS) -> tuple[int, list[tuple[str, int, int]]]:
+    """(block, (source, bundle, blocks to draw)) from source -> bundle -> tokens and source -> (share, max_repeats)."""
+    have = {s: sum(b.values()) for s, b in held.items()}
     live = {s: t for s, t in targets.items() if have.get(s, 0) > 0}
     if not live:
-        return []
+        return 1, []
     scale = sum(share for share, _ in live.values())
     total = min(have[s] * repeats * scale / share for s, (share, repeats) in live.items())
     block = max(1, min(block_tokens, int(total) // LEAST_BLOCKS))
     blocks = apportion({s: share for s, (share, _) in live.items()}, int(total) // block)
-    out = []
-    for s in live:
-        own = {f"{k:012d}": n for x, k, n in shards if x == s}
-        out += [(s, int(k), b * block) for k, b in apportion(own, blocks[s]).items()]
-    return out
+    return block, [(s, int(k), n) for s in live for k, n in apportion({f"{k:012d}": n for k, n in held[s].items()}, blocks[s]).items()]
 
 
-def mix(documents: DataFrame, targets: DataFrame, seed: int = 23, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def _shard_quotas(block: int):
+    """The blocks of one bundle to its shards, (source, shard, tokens, quota)."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        seats = apportion({f"{k:012d}": int(n) for k, n in zip(b["shard"], b["tokens"])}, int(b["blocks"].iloc[0]))
+        return b.assign(quota=[seats[f"{k:012d}"] * block for k in b["shard"]])[["source", "shard", "tokens", "quota"]]
+
+    return run
+
+
+def mix(documents: DataFrame, targets: DataFrame, seed: int = 23, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS, bundle: int = BUNDLE) -> DataFrame:
     """(id, source, n_tokens, uses) of every document drawn at least once, from (id, source, n_tokens) and
     (source, target_share, max_repeats), one row per source and few enough for the driver."""
     spark = documents.sparkSession
@@ -81,20 +90,25 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 23, shard_tokens:
     names = spark.createDataFrame([(s, m) for s, (_, m) in sorted(goal.items())], "source string, max_repeats long")
     rows = documents.select("id", "source", F.col("n_tokens").cast("long").alias("n_tokens")).where("id is not null and n_tokens > 0").join(F.broadcast(names), "source")
     rows = written(rows.dropDuplicates(["id"]), "mixed")
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    n_shards = max(1, -(-int(total) // shard_tokens))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(n_shards)).cast("int")).withColumn("h", F.xxhash64(F.lit(seed), "id"))
-    held = [(r["source"], r["shard"], r["n"]) for r in dealt.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect()]  # tokens / shard_tokens rows per source
-    quota = spark.createDataFrame(quotas(held, goal, block_tokens), "source string, shard int, quota long")
-    size = spark.createDataFrame(held, "source string, shard int, tokens long")
-    plan = F.broadcast(quota.join(size, ["source", "shard"]))
-    order = W.partitionBy("source", "shard").orderBy("h", "id")
-    laid = dealt.join(plan, ["source", "shard"]).withColumn("to", F.sum("n_tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    counts = rows.groupBy("source").agg(F.ceil(F.sum("n_tokens") / shard_tokens).cast("int").alias("n_shards"))  # each source by its own tokens
+    dealt = rows.join(F.broadcast(counts), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("n_shards")).cast("int")).drop("n_shards")
+    shards = written(dealt.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).withColumn("bundle", F.floor(F.col("shard") / bundle).cast("int")), "shards")
+    held: dict[str, dict[int, int]] = {}
+    for r in shards.groupBy("source", "bundle").agg(F.sum("tokens").alias("tokens")).collect():  # tokens / (bundle * shard_tokens) rows and one more per source
+        held.setdefault(r["source"], {})[r["bundle"]] = r["tokens"]
+    block, drawn = quotas(held, goal, block_tokens)
+    blocks = spark.createDataFrame(drawn, "source string, bundle int, blocks long")
+    plan = shards.join(blocks, ["source", "bundle"]).groupBy("source", "bundle").applyInPandas(_shard_quotas(block), "source string, shard int, tokens long, quota long")
+    laid = W.partitionBy("source", "shard").orderBy("id")
+    place = F.sum("n_tokens").over(laid.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens") / 2
+    cut = dealt.join(plan, ["source", "shard"]).withColumn("block", F.floor(place / block))
+    order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed), "source", "shard", "block"), "block", "id")
+    cut = cut.withColumn("to", F.sum("n_tokens").over(order.rowsBetween(W.unboundedPreceding, 0)))
     rounds = F.least(F.floor(F.col("quota") / F.col("tokens")), F.col("max_repeats"))
     rest = F.col("quota") - rounds * F.col("tokens")
     once = (F.col("to") - F.col("n_tokens") / 2 < rest) & (rounds < F.col("max_repeats"))
     uses = (rounds + F.when(once, 1).otherwise(0)).cast("int")
-    return laid.select("id", "source", "n_tokens", uses.alias("uses")).where("uses > 0")
+    return cut.select("id", "source", "n_tokens", uses.alias("uses")).where("uses > 0")
 
 
 def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Items are routed to context-size tiers: a tier per capacity, each holding the items that its capacity takes and the
 next smaller one does not. Only an item over the largest capacity is cut, into full pieces and a rest. Each tier is
-packed best fit, longest item first; the gaps that remain in the windows of a longer tier are filled from the shorter
-tiers, again longest first, before these open windows of their own. ``pack`` uses the tiers for windows of one
-capacity, ``pack_tiers`` gives each tier windows of its own size. Windows are then dealt to step groups of
+packed into windows of its own, best fit, longest item first; the gaps that remain in the windows of a longer tier are then filled from
+the shorter tiers, again longest first, before these open windows of their own. With ``pack`` the windows of all tiers
+have one capacity, with ``pack_tiers`` each tier has windows of its own size. The windows of a tier are dealt to step groups of
 ``group_windows`` so that the groups' attention costs (sum of squared piece lengths) balance.
 
 Scale: items are dealt by hash to shards of about ``shard_tokens``; a shard is packed by one task from (id, tokens)
@@ -72,27 +72,26 @@ def _route(sizes: list[int], capacities: list[int]) -> list[list[int]]:
     return tiers
 
 
-def fill(sizes: list[int], capacities: list[int], own_windows: bool) -> list[tuple[int, list[list[int]]]]:
-    """(capacity, windows of item positions) over ascending capacities, the last of which takes every item.
+def fill(sizes: list[int], tiers: list[int], windows: list[int]) -> list[tuple[int, list[list[int]]]]:
+    """(tier, its windows as lists of item positions), longest tier first; the longest tier takes every item.
 
-    With ``own_windows`` each tier opens windows of its own capacity; without, all windows have the largest one.
+    Each tier packs its own items into windows of the size ``windows`` has for it; then their gaps take from the
+    shorter tiers, and only what is left of those opens windows of their own.
     """
-    tiers, out, left = _route(sizes, capacities), [], None
-    shared = Windows(capacities[-1])
-    for t in range(len(capacities) - 1, -1, -1):
-        windows = Windows(capacities[t]) if own_windows else shared
-        for k in tiers[t]:
-            window = windows.fit(sizes[k])
-            windows.items[windows.open(sizes[k]) if window is None else window].append(k)
-        if own_windows:
-            for below in range(t - 1, -1, -1):  # gaps of these windows take from the shorter tiers, longest first
-                rest = []
-                for k in tiers[below]:
-                    window = windows.fit(sizes[k]) if windows.items else None
-                    rest.append(k) if window is None else windows.items[window].append(k)
-                tiers[below] = rest
-            out.append((capacities[t], windows.items))
-    return out if own_windows else [(capacities[-1], shared.items)]
+    routed, out = _route(sizes, tiers), []
+    for t in range(len(tiers) - 1, -1, -1):
+        own = Windows(windows[t])
+        for k in routed[t]:
+            window = own.fit(sizes[k])
+            own.items[own.open(sizes[k]) if window is None else window].append(k)
+        for below in range(t - 1, -1, -1) if own.items else ():
+            rest = []
+            for k in routed[below]:  # longest first
+                window = own.fit(sizes[k])
+                rest.append(k) if window is None else own.items[window].append(k)
+            routed[below] = rest
+        out.append((t, own.items))
+    return out
 
 
 def step_groups(costs: list[int], size: int) -> list[int]:
@@ -105,42 +104,47 @@ def step_groups(costs: list[int], size: int) -> list[int]:
     return out
 
 
-def _pack_shard(jobs: list[tuple[str, list[int], bool]], names: dict[int, str], group_windows: int):
+def _pack_shard(jobs: list[tuple[list[str], list[int], list[int]]], group_windows: int):
+    """``jobs``: container name, longest item and window size of each tier, shortest tier first."""
+
     def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["n_tokens", "id"], ascending=[False, True])
         shard, rows = int(b["shard"].iloc[0]), []
-        for job, capacities, own in jobs:
-            pieces = [(i, *p) for i, n in zip(b["id"].tolist(), b["n_tokens"].tolist()) for p in cut(n, capacities[-1])]
-            for capacity, windows in fill([p[3] for p in pieces], capacities, own):
+        for names, tiers, sizes in jobs:
+            pieces = [(i, *p) for i, n in zip(b["id"].tolist(), b["n_tokens"].tolist()) for p in cut(n, tiers[-1])]
+            for t, windows in fill([p[3] for p in pieces], tiers, sizes):
                 groups = step_groups([sum(pieces[k][3] ** 2 for k in w) for w in windows], group_windows)
                 for w, (items, g) in enumerate(zip(windows, groups)):
-                    name = names[capacity] if own else job
-                    where = f"{name}-{shard}-{w}", f"{name}-{shard}-{g}"
-                    rows += [(name, capacity, *pieces[k], *where) for k in items]
+                    where = f"{names[t]}-{shard}-{t}-{w}", f"{names[t]}-{shard}-{t}-{g}"
+                    rows += [(names[t], sizes[t], *pieces[k], *where) for k in items]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _PIECES.split(", ")])
 
     return run
 
 
-def _packed(sizes: DataFrame, jobs: list[tuple[str, list[int], bool]], names: dict[int, str], shard_tokens: int, group_windows: int) -> DataFrame:
+def _packed(sizes: DataFrame, jobs: list[tuple[list[str], list[int], list[int]]], shard_tokens: int, group_windows: int) -> DataFrame:
     items = sizes.select("id", F.col("n_tokens").cast("long").alias("n_tokens")).where("id is not null and n_tokens is not null").groupBy("id").agg(F.max("n_tokens").alias("n_tokens"))
     weight = items.agg(F.sum(F.greatest("n_tokens", F.lit(0)) + 64)).first()[0]  # empty items count, as they are rows too
     shards = max(1, -(-int(weight or 0) // shard_tokens))
     dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(_pack_shard(jobs, names, group_windows), _PIECES)
+    return dealt.groupBy("shard").applyInPandas(_pack_shard(jobs, group_windows), _PIECES)
 
 
 def pack(sizes: DataFrame, capacities: dict[str, int], shard_tokens: int = SHARD_TOKENS, group_windows: int = GROUP_WINDOWS) -> DataFrame:
-    """For every container name a packing of all items (id, n_tokens) into windows of its capacity."""
-    ascending = sorted(set(capacities.values()))
-    jobs = [(name, [c for c in ascending if c <= capacity], False) for name, capacity in sorted(capacities.items())]
-    return _packed(sizes, jobs, {}, shard_tokens, group_windows)
+    """For every container name a packing of all items (id, n_tokens) into windows of its capacity; the capacities up
+    to it are the tiers."""
+    ascending, jobs = sorted(set(capacities.values())), []
+    for name, capacity in sorted(capacities.items()):
+        tiers = [c for c in ascending if c <= capacity]
+        jobs.append(([name] * len(tiers), tiers, [capacity] * len(tiers)))
+    return _packed(sizes, jobs, shard_tokens, group_windows)
 
 
 def pack_tiers(sizes: DataFrame, capacities: dict[str, int], shard_tokens: int = SHARD_TOKENS, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """One packing of all items, each in a window of its own tier or in a gap of a longer one."""
     names = {capacity: name for name, capacity in sorted(capacities.items(), reverse=True)}
-    return _packed(sizes, [("", sorted(names), True)], names, shard_tokens, group_windows)
+    tiers = sorted(names)
+    return _packed(sizes, [([names[c] for c in tiers], tiers, tiers)], shard_tokens, group_windows)
 
 
 def fills(packed: DataFrame) -> DataFrame:

@@ -159,6 +159,15 @@ def test_packing(spark):
         assert all(len(g) <= packing.GROUP_WINDOWS for g in groups.values())
 
 
+def test_tiers_pack_their_own_and_fill_longer_gaps():
+    sizes = [90, 80, 30, 30, 9, 8, 7, 5, 4]
+    got = packing.fill(sizes, [10, 40, 100], [100, 100, 100])
+    assert [t for t, _ in got] == [2, 1, 0] and sorted(k for _, w in got for x in w for k in x) == list(range(9))
+    by = {t: [[sizes[k] for k in x] for x in w] for t, w in got}
+    assert by[2] == [[90, 9], [80, 8, 7, 5]] and by[1] == [[30, 30, 4]] and by[0] == []  # a 30 opens a window of its tier
+    assert packing.fill([30, 4], [10, 40, 100], [10, 40, 100]) == [(2, []), (1, [[0, 1]]), (0, [])]
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(spark.createDataFrame([], "id long, n_tokens long"), {"c": 8}).count() == 0
 
@@ -181,8 +190,8 @@ def test_mixing(spark):
     rows = [(f"a{k}", "a", 50 + k % 7) for k in range(800)] + [(f"b{k}", "b", 40) for k in range(100)] + [("x", "other", 10), ("y", None, 10), ("z", "a", None), (None, "a", 10), ("a1", "a", 51)]
     docs = spark.createDataFrame(rows, "id string, source string, n_tokens long").withColumn("quota", F.lit(1))
     goal = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 3), ("none", 0.1, 2), ("bad", None, 1)], "source string, target_share double, max_repeats int")
-    for shard in (4_000_000, 5000):
-        drawn = mixing.mix(docs, goal, shard_tokens=shard, block_tokens=16)
+    for shard, bundle in ((4_000_000, 4096), (5000, 4096), (2000, 3)):
+        drawn = mixing.mix(docs, goal, shard_tokens=shard, block_tokens=16, bundle=bundle)
         out = drawn.collect()
         assert {r["source"] for r in out} == {"a", "b"} and all(r["uses"] <= (1 if r["source"] == "a" else 3) for r in out)
         share = {r["source"]: r["actual_share"] for r in mixing.shares(drawn, goal).collect()}
@@ -191,6 +200,15 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), goal).count() == 0
 
 
+def test_blocks_are_drawn_by_seed(spark):
+    docs = spark.range(4000).select("id", F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"), F.lit(10).cast("long").alias("n_tokens"))
+    goal = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = {seed: {r["id"] for r in mixing.mix(docs, goal, seed, block_tokens=200).where("source = 'a'").collect()} for seed in (1, 2)}
+    assert all(abs(len(x) - 1000) <= 1 for x in got.values()) and got[1] != got[2] and len(got[1] & got[2]) < 600
+    runs = sorted(got[1])
+    assert sum(b - a > 1 for a, b in zip(runs, runs[1:])) > 200 and mixing.quotas({"a": {0: 0}}, {"a": (1.0, 1)}) == (1, [])
+
+
 def test_token_counts(spark):
     rows = [(1, "hello world"), (2, ""), (3, None), (None, "x"), (1, "hello world"), (4, "naïve ☃ " * 3000)]
     got = dict(tuple(r) for r in tokens.token_counts(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect())
