@@ -41,7 +41,7 @@ STAND_INS = "na none null nil nan empty blank missing undefined noresponse noans
 FLAT_REFUSALS = ("no can do", "must decline", "no comment", "against policy", "against my", "not be appropriate", "not appropriate", "request declined")
 # Words that refuse, words that name the task refused, words of apology and of policy.
 REFUSING = "cannot cant unable wont decline declined declines refuse refused".split()
-REFUSING_PHRASES = ("not able to", "not be able", "no can do", "not appropriate", "not be appropriate", "inappropriate", "must decline", "no comment", "against policy", "against my", "not allowed to", "not comfortable")
+REFUSING_PHRASES = ("not able to", "not be able", "no can do", "not appropriate", "not be appropriate", "inappropriate", "must decline", "no comment", "against policy", "against my", "not allowed to", "not comfortable", "will not provide")
 TASK_WORDS = (
     "request requested text rewrite rewriting rephrase paraphrase variant generate produce provide write sentence content comply assist answer process "
     "dialogue response task prompt instruction instructions guidelines policy policies language model assistant appropriate fulfill complete help this that kind"
@@ -56,7 +56,7 @@ REFUSALS = (
     "I apologize, but this goes against my guidelines.", "I'm unable to comply.", "It would not be appropriate for me to paraphrase this.",
     "Thank you for asking, however I cannot produce text of this kind.", "I will not provide a response to this prompt.",
     "I refuse to complete this task.", "My policy does not allow me to fulfill this request.", "As a language model I can't do that.",
-    "The input may involve minors.", "May I suggest something else instead?", "I lack the context to rewrite this text.",
+    "The input may involve minors.", "I cannot rewrite this text, as I lack the context.",
 )
 EVERYDAY = (
     "Sorry, I cannot reach that shelf!", "I'm sorry, I can't find the tray, so help me.", "I am not able to see it from here.", "No thank you, not yet.",
@@ -80,7 +80,7 @@ DANGLING = "the a an and or but nor of to from with into onto because if than as
 # More words to break off after, for training only.
 ALSO_DANGLING = ("it", "them", "him", "also", "just", "only", "when it", "and the", "but the", "so if we", "because a", "and it", "if they", "when the", "as it", "while it")
 # Lead-ins that wrap an answer.
-LEAD_INS = ("Here you go - ", "Answer: ", "Variant: ", "Output:\n", "Sure! Here is the rewritten version: ", "Rewritten for the group: ", "Result: ", "Here it is: ")
+LEAD_INS = ("Here you go - ", "Answer: ", "Variant: ", "Output:\n", "Sure! Here is the rewritten version: ", "Rewritten for the group: ", "Result: ", "Here it is: ", '{"text": "')
 
 _FOREIGN = frozenset(w for x in FOREIGN_WORDS.values() for w in words(x)) - set(ENGLISH_WORDS)
 _ENGLISH, _DANGLING = frozenset(ENGLISH_WORDS), frozenset(DANGLING)
@@ -305,6 +305,8 @@ class Reader:
             out += ["sorry", "sorry:refuse:task" if refuse and task > 1 else "sorry:other"]
         if policy:
             out += ["policy", "policy:2" if policy > 1 else "policy:1"]
+        if not (refuse or sorry or policy):
+            out.append("calm")
         seen, pairs_seen = prompt
         share = sum(w in seen for w in run) / n
         paired = sum(p in pairs_seen for p in zip(run, run[1:])) / max(1, n - 1)
@@ -356,13 +358,6 @@ class Reader:
 
 # ---------------------------------------------------------------- the random field
 
-#: Per tag the features one of which a clause must have; none for answer.
-CUES = (
-    frozenset(), frozenset({"refuse", "policy"}), frozenset({"echo:2", "echo:3"}), frozenset({"foreign:1", "foreign:2", "strange:english:11"}),
-    frozenset({"end:open", "end:dots", "end:dash", "end:comma"}),
-)
-
-
 @dataclass
 class Field:
     names: dict[str, int]
@@ -370,16 +365,7 @@ class Field:
     moves: np.ndarray  #: (tags, tags)
 
     def scores(self, feats: list[list[str]]) -> np.ndarray:
-        """A tag without any of its cues is ruled out, and so is an answer that refuses in so many words."""
-        out = np.stack([self.weights[[self.names[f] for f in c if f in self.names]].sum(0) for c in feats])
-        for row, c in zip(out, feats):
-            have = set(c)
-            for tag, cues in enumerate(CUES):
-                if cues and have.isdisjoint(cues):
-                    row[tag] = -1e9
-            if not have.isdisjoint(("refuse:policy", "refuse:flat")):
-                row[0] = -1e9
-        return out
+        return np.stack([self.weights[[self.names[f] for f in c if f in self.names]].sum(0) for c in feats])
 
     def tags(self, feats: list[list[str]]) -> list[int]:
         score = self.scores(feats)
@@ -472,6 +458,24 @@ def _reformatted(text: str, rng: np.random.Generator) -> str:
     return text
 
 
+def _worn(text: str, rng: np.random.Generator) -> str:
+    """With slips before the last words: letters doubled or left out, neighbouring words swapped, words put in."""
+    out = text.split()
+    for _ in range(int(rng.integers(1, 1 + max(1, len(out) // 6))) if len(out) > 8 else 0):
+        k, how = int(rng.integers(0, len(out) - 6)), rng.random()
+        w = out[k]
+        at = int(rng.integers(1, len(w) - 1)) if len(w) > 3 else 0
+        if how < 0.35 and at:
+            out[k] = w[:at] + w[at - 1] + w[at:]
+        elif how < 0.6 and at:
+            out[k] = w[:at] + w[at + 1 :]
+        elif how < 0.85 and k + 2 < len(out):
+            out[k], out[k + 1] = out[k + 1], w
+        elif k + 1 < len(out):
+            out.insert(k, ("also", "again", "even", "really")[int(rng.integers(0, 4))])
+    return " ".join(out)
+
+
 def _broken_off(text: str, rng: np.random.Generator) -> str | None:
     """``text`` cut within its last sentence."""
     parts = clauses(text)
@@ -530,10 +534,13 @@ def examples(prompts: list[str], reader: Reader, seed: int) -> list[tuple[list[l
                 reply = _reformatted(reply, rng)
             elif rng.random() < 0.15:
                 reply = EVERYDAY[int(rng.integers(0, len(EVERYDAY)))]
-            add(prompt, reply, "answer")
+            elif rng.random() < 0.5:
+                reply = _worn(reply, rng)
+            add(prompt, LEAD_INS[int(rng.integers(0, len(LEAD_INS)))] + reply if rng.random() < 0.1 else reply, "answer")
         elif kind < 0.6:
-            cut = _broken_off(other.strip(), rng)
+            cut = _broken_off(_worn(other, rng) if rng.random() < 0.3 else other.strip(), rng)
             if cut:
+                cut = LEAD_INS[int(rng.integers(0, len(LEAD_INS)))] + cut if rng.random() < 0.15 else cut
                 add(prompt, cut, lambda n: [answer] * (n - 1) + [unfinished])
         elif kind < 0.75:
             reply = " ".join(_edited(prompt.split(), rng, pool)) if rng.random() < 0.5 else prompt
