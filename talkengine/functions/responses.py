@@ -10,8 +10,11 @@ from .arrays import SENTINEL, SUBTYPES, strings
 from .scores import clamp01
 from .text import strip
 
-# Marks of responses that a quota or a key refused.
-QUOTA_MARKS = ("quota", "insufficient", "unauthorized", "invalid api key", "invalid_api_key", "forbidden", "rate limit")
+# Marks of an error by which a key's quota or right is spent, so that another key may do.
+QUOTA_MARKS = (
+    "quota", "budget", "credit", "balance", "insufficient", "exceeded", "spending limit", "payment", "unauthor",
+    "invalid api key", "invalid_api_key", "expired", "forbidden", "402", "401", "403",
+)
 
 
 def _json(text: Column, schema: str, inner: str) -> Column:
@@ -59,12 +62,15 @@ def score_response(text: Column) -> tuple[Column, Column]:
 
 
 def response_kind(text: Column) -> Column:
-    """ok, quota_auth or transient."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """ok, quota_auth or transient: what the ``error`` of a response body says; else whether there is a text at all, be
+    it the body's first choice or the response itself."""
+    error = F.lower(F.get_json_object(text, "$.error"))
     refused = F.lit(False)
     for mark in QUOTA_MARKS:
-        refused = refused | low.contains(mark)
-    return F.when(low.contains("error") & refused, "quota_auth").when((strip(low) == "") | low.contains('"error"'), "transient").otherwise("ok")
+        refused = refused | error.contains(mark)
+    said = F.coalesce(F.get_json_object(text, "$.choices[0].message.content"), F.when(F.get_json_object(text, "$.choices").isNull(), text))
+    bad = error.isNotNull() & ~error.isin("", "null", "false", "{}", "[]")
+    return F.when(bad & refused, "quota_auth").when(bad | (F.coalesce(strip(said), F.lit("")) == ""), "transient").otherwise("ok")
 
 
 def cache_key(prompt_version: Column, model: Column, endpoint: Column, params: Mapping[str, Column]) -> Column:

@@ -1,4 +1,4 @@
-"""Text scalars. All but ``nfkc`` stay inside whole-stage code generation."""
+"""Text scalars. All but ``nfkc`` and ``casefolded`` stay inside whole-stage code generation."""
 
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ SETTING_REGISTER = {"Large Group": "LARGE_GROUP", "Small Group": "SMALL_GROUP",
 SHEET_SETTING = {"LG": "Large Group", "SG": "Small Group", "C": "Centers"}
 NULL_WORDS = ("", "nan", "<NA>", "None")
 TEACHER = r"^T\d*:?$"
+#: A word: letters, digits and underscores of any script.
+WORD, NO_WORD = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 
 
 def squeeze(c: Column | str) -> Column:
@@ -42,8 +44,9 @@ def casefolded(s: pd.Series) -> pd.Series:
 
 
 def canon(c: Column | str) -> Column:
-    """The built-in canonical form for text that is NFKC already: squeezed lower case, null as ''."""
-    return F.coalesce(F.lower(squeeze(c)), F.lit(""))
+    """The form in which two texts are the same: NFKC, squeezed, case-folded; null as ''. One Arrow pass, so callers
+    compute it once per row and compare the result."""
+    return casefolded(F.col(c) if isinstance(c, str) else c)
 
 
 def blank_to_null(c: Column | str, words: tuple[str, ...] = NULL_WORDS) -> Column:
@@ -140,6 +143,16 @@ def child_of(file: Column | str) -> Column:
     return F.when(F.size(parts) >= 4, F.get(parts, F.lit(3))).otherwise("base")
 
 
+def unique_sheet_names(df, child: str, within: list[str], out: str = "sheet"):
+    """Adds the sheet name of each row, with _1, _2 ... where several children of a workbook get the same one."""
+    from pyspark.sql import Window as W
+
+    rows = df.withColumn("_base", sheet_name(child))
+    k = F.row_number().over(W.partitionBy(*within, "_base").orderBy(child)) - 1  # the children of one workbook
+    mark = F.concat(F.lit("_"), k.cast("string"))
+    return rows.withColumn(out, F.when(k == 0, F.col("_base")).otherwise(F.concat(F.expr("substring(_base, 1, 31)").substr(F.lit(1), F.lit(31) - F.length(mark)), mark))).drop("_base")
+
+
 def sheet_name(child: Column | str) -> Column:
     """A legal sheet name: no []:*?/\\ and at most 31 characters."""
     child = F.col(child) if isinstance(child, str) else child
@@ -147,9 +160,9 @@ def sheet_name(child: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    """Runs of letters, digits and underscores."""
+    """Runs of letters, digits and underscores of any script."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_count(c, F.lit(r"[A-Za-z0-9_]+"))
+    return F.regexp_count(c, F.lit(WORD))
 
 
 def token_count(c: Column | str) -> Column:
@@ -166,7 +179,14 @@ def is_fragment(c: Column | str, min_words: int = 5, min_chars: int = 20) -> Col
 def padded_words(c: Column | str) -> Column:
     """The words in lower case between single blanks, with a blank at both ends, for whole-word ``contains`` tests."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), NO_WORD, " ")), F.lit(" "))
+
+
+def has_term(c: Column | str, term: Column | str) -> Column:
+    """Whether the text holds the term, signs included, with no word going on at either end, in any letter case."""
+    low, t = (F.lower(F.col(x) if isinstance(x, str) else x) for x in (c, term))
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    return F.when(low.contains(t), F.regexp_like(low, quoted)).otherwise(F.when(low.isNotNull() & t.isNotNull(), False))
 
 
 def well_formed(c: Column | str, seed: Column | str | None = None, low: int = 2, high: int = 40) -> Column:
@@ -176,12 +196,18 @@ def well_formed(c: Column | str, seed: Column | str | None = None, low: int = 2,
     if seed is None:
         return ok
     seed = F.col(seed) if isinstance(seed, str) else seed
-    return ok & (seed.isNull() | padded_words(c).contains(padded_words(seed)))
+    return ok & (seed.isNull() | F.coalesce(has_term(c, seed), F.lit(False)))
+
+
+def plain(c: Column | str) -> Column:
+    """Squeezed lower case, null as ''; a built-in expression."""
+    return F.coalesce(F.lower(squeeze(c)), F.lit(""))
 
 
 def differs(variant: Column | str, anchor: Column | str) -> Column:
-    v = canon(variant)
-    return (v != "") & (v != canon(anchor))
+    """The variant says something, and not the anchor in other letter case or spacing."""
+    v = plain(variant)
+    return (v != "") & (v != plain(anchor))
 
 
 def is_teacher(speaker: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import SENTINEL, category_subtypes, listed, strings, term_subtypes
-from ..functions.text import padded_words
+from ..functions.text import NO_WORD, has_term, padded_words
 
 #: The seed vocabulary is broadcast up to this many rows; beyond it the joins shuffle.
 SEED_ROWS = 200_000
@@ -53,10 +53,12 @@ def keyword_labels(df: DataFrame, id_: str, text: str, index: DataFrame) -> Data
 
     The theta join text-contains-token becomes an equi-join of the text's word runs with the vocabulary.
     """
-    cut = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), word_list(text).alias("w"))
-    longest = index.agg(F.max(F.size(F.split("token", " ")))).first()[0] or 1  # words of the longest token
-    runs = cut.select("id", F.explode(grams("w", longest)).alias("token"))
-    hit = runs.join(_small(index, SEED_ROWS), "token")
+    cut = df.where(F.col(text).isNotNull()).select(F.col(id_).alias("id"), F.col(text).alias("_text"), word_list(text).alias("w"))
+    known = index.withColumn("_run", F.array_join(word_list("token"), " ")).where("_run <> ''")
+    longest = known.agg(F.max(F.size(F.split("_run", " ")))).first()[0] or 1  # words of the longest token
+    runs = cut.select("id", "_text", F.explode(grams("w", longest)).alias("_run"))
+    exact = ~F.col("token").rlike(NO_WORD) | has_term("_text", "token")  # signs and double blanks of a token count too
+    hit = runs.join(_small(known, SEED_ROWS), "_run").where(exact)
     labels = F.when(F.col("tier") == "TIER3", strings("content")).otherwise(F.coalesce(term_subtypes(F.col("token")), category_subtypes(F.col("category"))))
     return hit.select("id", F.explode(labels).alias("label")).groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
 

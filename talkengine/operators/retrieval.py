@@ -1,59 +1,74 @@
 """Dense retrieval: exact top-k in blocks, classification, deduplicated scoring, the deterministic pair scorer.
 
-A stated set of queries is compared with all rows: the queries travel in blocks of at most ``block`` vectors, each
-bank partition multiplies its vectors with the block and keeps k per query, and the partial lists merge by a window.
-Similarities are rounded to 6 places, ties go to the smaller id.
+A stated set of queries is compared with all rows. Both sides are dealt to blocks of bounded size; each query block
+meets each bank block in one task, which keeps k per query, and the partial lists merge by a window. Nothing but two
+counts comes to the driver, and the plan does not grow with the data. Similarities are rounded to 6 places, ties go to
+the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BLOCK = 8192
+BANK_BLOCK = 65_536
+
+
+def _best_of(k: int, by_query: bool):
+    """The k nearest bank vectors of each query of a pair of blocks, leaving out a row as its own candidate."""
+
+    def run(queries: pd.DataFrame, bank: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(queries) and len(bank):
+            bank = bank.sort_values("id", kind="stable")
+            vectors, names = np.stack(bank["v"].to_numpy()).astype(np.float64), bank["id"].to_numpy()
+            for at in range(0, len(queries), 512):
+                some = queries.iloc[at : at + 512]
+                sims = np.round(np.stack(some["v"].to_numpy()).astype(np.float64) @ vectors.T, 6)
+                own = some["id"].to_numpy()
+                m = min(k + by_query, len(names))
+                # ties at the cut go to the smaller id: all that reach the m-th best, then in order
+                cut = -np.partition(-sims, m - 1, axis=1)[:, m - 1 : m]
+                q, i = np.nonzero(sims >= cut)
+                order = np.lexsort((i, -sims[q, i], q))
+                q, i = q[order], i[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                q, i = q[place < m], i[place < m]
+                keep = own[q] != names[i] if by_query else np.ones(len(q), bool)
+                found.append(pd.DataFrame({"query_id": own[q[keep]], "id": names[i[keep]], "similarity": sims[q[keep], i[keep]]}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"query_id": queries["id"].iloc[:0], "id": bank["id"].iloc[:0], "similarity": pd.Series(dtype="float64")})
 
+    return run
 
-def _partial(ids: np.ndarray, vectors: np.ndarray, k: int):
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            bank = np.stack(b["v"].to_numpy()).astype(np.float64) if len(b) else np.empty((0, vectors.shape[1]))
-            names = b["id"].to_numpy()
-            order = np.argsort(names, kind="stable")
-            bank, names = bank[order], names[order]
-            for at in range(0, len(ids), 512):
-                sims = np.round(vectors[at : at + 512] @ bank.T, 6)
-                own = ids[at : at + 512]
-                take = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]
-                q = np.repeat(np.arange(len(own)), take.shape[1])
-                flat = take.ravel()
-                out = pd.DataFrame({"query_id": own[q], "id": names[flat], "similarity": sims[q, flat]})
-                yield out[out["query_id"] != out["id"]]
 
-    return run
+def _partials(bank: DataFrame, queries: DataFrame, k: int, by_query: bool, block: int, bank_block: int) -> DataFrame:
+    name, kind = (df.schema["id"].dataType.simpleString() for df in (bank, queries))
+    blocks, banks = max(1, -(-queries.count() // block)), max(1, -(-bank.count() // bank_block))
 
+    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
+        mine = df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own))
+        return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
-def top_k(bank: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
-    """(query_id, id, similarity, rank) from (id, v) tables of unit vectors; a row is no candidate of itself."""
-    kind = bank.schema["id"].dataType.simpleString()
-    blocks = max(1, -(-queries.count() // block))
-    parts = None
-    numbered = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    for n in range(blocks):
-        rows = numbered.where(F.col("b") == n).select("id", "v").toPandas()  # about ``block`` vectors
-        if not len(rows):
-            continue
-        ids, vectors = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.float64)
-        part = bank.select("id", "v").mapInPandas(_partial(ids, vectors, k), f"query_id {kind}, id {kind}, similarity double")
-        parts = part if parts is None else parts.union(part)
-    if parts is None:
-        parts = bank.sparkSession.createDataFrame([], f"query_id {kind}, id {kind}, similarity double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    q, b = dealt(queries, "qb", blocks, "bb", banks), dealt(bank, "bb", banks, "qb", blocks)
+    met = q.groupBy("qb", "bb").cogroup(b.groupBy("qb", "bb"))
+    return met.applyInPandas(_best_of(k, by_query), f"query_id {kind}, id {name}, similarity double")
+
+
+def top_k(bank: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, bank_block: int = BANK_BLOCK, itself: bool = False) -> DataFrame:
+    """(query_id, id, similarity, rank) from (id, v) tables of unit vectors; a row is no candidate of itself, unless the
+    ids of queries and bank have nothing to do with each other (``itself``)."""
+    parts = _partials(bank, queries, k, not itself, block, bank_block)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))  # k rows per bank block
     return parts.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def nearest(bank: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``top_k`` for queries that are no rows of the bank."""
+    return top_k(bank, queries, k, itself=True)
+
+
 def classified(candidates: DataFrame, threshold: float, how: str = "max", score: str = "similarity") -> DataFrame:
     """(query_id, score, label, best_id, n_candidates): max or mean of the candidates' scores against a threshold."""
     value = F.max(score) if how == "max" else F.avg(score)
@@ -82,38 +97,8 @@ def scored_once(rows: DataFrame, text: str, score, key: str = "_text") -> DataFr
     return rows.withColumn(key, F.col(text)).join(score(distinct), key, "left").drop(key)
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray):
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            at, best = [], []
-            for k in range(0, len(b), 2048):
-                sims = np.round(np.stack(b["v"].iloc[k : k + 2048].to_numpy()).astype(np.float64) @ vectors.T, 6)
-                at.append(sims.argmax(1))  # of equal ones the smallest id
-                best.append(sims.max(1))
-            yield pd.DataFrame({"id": b["id"], "match_id": ids[np.concatenate(at)], "similarity": np.concatenate(best)})
-
-    return run
-
-
-def best_match(rows: DataFrame, bank: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(id, match_id, similarity): for each of many rows (id, v) the nearest of a bank that travels in blocks of at most
-    ``block`` vectors. The rows never shuffle unless the bank takes more than one block."""
-    kind, name = rows.schema["id"].dataType.simpleString(), bank.schema["id"].dataType.simpleString()
-    blocks = max(1, -(-bank.count() // block))
-    parts = None
-    for n in range(blocks):
-        some = bank.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).select("id", "v").toPandas()  # about ``block`` vectors
-        if len(some):
-            part = rows.select("id", "v").mapInPandas(_best(some["id"].to_numpy(), np.stack(some["v"].to_numpy()).astype(np.float64)), f"id {kind}, match_id {name}, similarity double")
-            parts = part if parts is None else parts.union(part)
-    if parts is None:
-        return rows.sparkSession.createDataFrame([], f"id {kind}, match_id {name}, similarity double")
-    if blocks == 1:
-        return parts
-    best = F.min_by(F.struct("match_id", "similarity"), F.struct((-F.col("similarity")).alias("s"), "match_id"))
-    return parts.groupBy("id").agg(best.alias("m")).select("id", "m.match_id", "m.similarity")
+def best_match(rows: DataFrame, bank: DataFrame, block: int = BANK_BLOCK, rows_block: int = BANK_BLOCK) -> DataFrame:
+    """(id, match_id, similarity): for each of many rows (id, v) the nearest of a bank (id, v), block by block."""
+    parts = _partials(bank, rows, 1, False, rows_block, block)
+    best = F.min_by(F.struct(F.col("id").alias("match_id"), "similarity"), F.struct((-F.col("similarity")).alias("s"), "id"))
+    return parts.groupBy(F.col("query_id").alias("id")).agg(best.alias("m")).select("id", "m.match_id", "m.similarity")

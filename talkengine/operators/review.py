@@ -88,3 +88,94 @@ def pass_rate(negatives: DataFrame, ok: Column) -> DataFrame:
     """One row (n_reviewed, n_ok, rate), the rate null where nothing is reviewed."""
     r = negatives.where("human_label is not null").agg(F.count("*").alias("n_reviewed"), F.count_if(ok).alias("n_ok"))
     return r.withColumn("rate", F.try_divide("n_ok", "n_reviewed"))
+
+
+# ---------------------------------------------------------------- templates, audits, corpus decisions
+
+# Decisions about corpus rows, labels of reviewed negatives.
+CORPUS_DECISIONS = ("keep", "drop", "edit")
+NEGATIVE_LABELS = ("NOT_SCIENCE_TALK", "POSSIBLE_LEAK", "UNCLEAR")
+
+
+def template(rows: DataFrame, strata: list[str], id_: str, blanks: list[str], n: int = 50, seed: int = 42) -> DataFrame:
+    """A stratified sample of n rows with blank columns to fill in."""
+    from .sampling import stratified_sample
+
+    return stratified_sample(rows, strata, id_, n, seed).withColumns({c: F.lit(None).cast("string") for c in blanks})
+
+
+def ordered_columns(df: DataFrame, first: list[str], content: list[str], fill: list[str], internal: list[str]) -> DataFrame:
+    """The columns in the order id, content, to fill in, internal, the rest; names that are not there are left out."""
+    named = [c for c in dict.fromkeys([*first, *content, *fill]) if c in df.columns]
+    last = [c for c in internal if c in df.columns and c not in named]
+    return df.select(*named, *last, *[c for c in df.columns if c not in named and c not in last])
+
+
+def label_problems(labels: DataFrame) -> DataFrame:
+    """(neg_id, problem) of filled labels that are none of the known ones; blank ones are no problem."""
+    label = F.upper(blank_to_null("human_label"))
+    return labels.where(label.isNotNull() & ~label.isin(*NEGATIVE_LABELS)).select("neg_id", F.lit("unknown label").alias("problem"))
+
+
+def not_science(corpus: DataFrame) -> DataFrame:
+    """The corpus rows whose sub-types hold the sentinel, with the sub-types joined and blank decision columns."""
+    from ..functions.arrays import SENTINEL
+
+    rows = corpus.where(F.array_contains("subtype", SENTINEL))
+    keep = [c for c in ("utt_id", "utterance", "setting", "source", "transcript_ref") if c in corpus.columns]
+    return rows.select(*keep, F.array_join("subtype", ", ").alias("current_subtype"), *[F.lit(None).cast("string").alias(c) for c in ("decision", "corrected_text", "notes")])
+
+
+def corpus_decision_problems(decisions: DataFrame) -> DataFrame:
+    """(utt_id, problem): unknown decisions and edits without text; a blank decision keeps the row."""
+    d = F.lower(blank_to_null("decision"))
+    bad = F.array_compact(F.array(F.when(~d.isin(*CORPUS_DECISIONS), "unknown decision"), F.when((d == "edit") & blank_to_null("corrected_text").isNull(), "no corrected text")))
+    return decisions.select("utt_id", F.explode(bad).alias("problem"))
+
+
+def corpus_decided(corpus: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The corpus without dropped rows and with edited texts, by (utt_id, decision, corrected_text), one per id."""
+    d = decisions.select("utt_id", F.lower(blank_to_null("decision")).alias("_d"), blank_to_null("corrected_text").alias("_t")).dropDuplicates(["utt_id"])
+    rows = corpus.join(d, "utt_id", "left").where(F.coalesce(F.col("_d") != "drop", F.lit(True)))
+    return rows.withColumn("utterance", F.when(F.col("_d") == "edit", F.col("_t")).otherwise(F.col("utterance"))).drop("_d", "_t")
+
+
+def changed_anchors(decisions: DataFrame) -> DataFrame:
+    """(utt_id) of the rows that are dropped or edited, whose variants no longer hold."""
+    return decisions.where(F.lower(blank_to_null("decision")).isin("drop", "edit")).select("utt_id").distinct()
+
+
+def routing_sample(routed: DataFrame, anchors: DataFrame, n: int = 50, seed: int = 42) -> DataFrame:
+    """(id, kind, text, anchor_text, routing, confidence, human_routing): n rows by kind and routing for an audit.
+
+    ``routed`` has (id, kind, text, anchor_id, seed_term, routing, confidence); the anchor is shown by its text, else
+    the seed term, else as '<no anchor>'.
+    """
+    from .sampling import stratified_sample
+
+    drawn = stratified_sample(routed.where("routing is not null"), ["kind", "routing"], "id", n, seed)
+    texts = anchors.select(F.col("utt_id").alias("anchor_id"), F.col("utterance").alias("_text"))
+    shown = F.coalesce("_text", "seed_term", F.lit("<no anchor>"))
+    return drawn.join(texts, "anchor_id", "left").select("id", "kind", "text", shown.alias("anchor_text"), "routing", "confidence", F.lit(None).cast("string").alias("human_routing"))
+
+
+def refreshed(audit: DataFrame, routed: DataFrame, columns: tuple[str, ...] = ("routing", "confidence")) -> DataFrame:
+    """The audit with the present values of ``columns``; ids that are no longer routed get nulls."""
+    return audit.drop(*columns).join(routed.select("id", *columns).dropDuplicates(["id"]), "id", "left")
+
+
+def audit_result(audit: DataFrame, target: float = 0.80) -> DataFrame:
+    """(kind, routing, n, agreement, met) by grouping sets over filled audits (kind, routing, human_routing)."""
+    from ..functions.text import routing_label
+    from .metrics import agreement
+
+    rows = audit.withColumns({"routing": routing_label("routing"), "_human": routing_label("human_routing")}).where("routing is not null and _human is not null")
+    return agreement(rows, F.col("_human") == F.col("routing")).withColumn("met", F.col("agreement") >= target)
+
+
+def disagreements(audit: DataFrame) -> DataFrame:
+    """(routing, human_routing, n): the confusion of routings where both are given."""
+    from ..functions.text import routing_label
+
+    rows = audit.select(routing_label("routing").alias("routing"), routing_label("human_routing").alias("human_routing")).where("routing is not null and human_routing is not null")
+    return rows.groupBy("routing", "human_routing").agg(F.count("*").alias("n"))

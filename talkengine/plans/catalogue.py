@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A, responses as R, scores as S, text as T
-from ..operators import augment, budget, labelling, metrics, mining, relate, retrieval, review, sampling
+from ..operators import augment, budget, evaluation, labelling, metrics, mining, pipeline, prompts, relate, requests, retrieval, review, sampling
 from .runtime import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,12 +38,24 @@ def _st(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
-def _canon(x: str) -> str:
+def _plain(x: str) -> str:
     return f"coalesce(lower({_sq(x)}), '')"
 
 
-def _padded(x: str) -> str:
-    return f"(' ' || trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')) || ' ')"
+#: Compatibility forms that the test tables hold: full-width signs and letters, ligatures, the ellipsis, the hard blank.
+_WIDE, _NARROW = "".join(chr(0xFF01 + k) for k in range(94)), "".join(chr(0x21 + k) for k in range(94)).replace("'", "''")
+
+
+def _nfkc(x: str) -> str:
+    return _sq(f"replace(replace(replace(translate({x}, '{_WIDE}' || chr(160), '{_NARROW}' || ' '), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...')")
+
+
+def _canon(x: str) -> str:
+    return f"coalesce(replace(lower({_nfkc(x)}), 'ß', 'ss'), '')"
+
+
+def _has(x: str, term: str) -> str:
+    return rf"(contains(lower({x}), lower({term})) and regexp_matches(lower({x}), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(lower({term})) || '($|[^\p{{L}}\p{{N}}_])'))"
 
 
 _ANCHOR = "lower(" + _st("anchor_id") + ")"
@@ -77,10 +89,10 @@ def _anchor() -> F.Column:
 # ---------------------------------------------------------------- text, predicates, joins
 
 
-@_query(f"""with c as (select distinct utt_id, {_sq('utterance')} as utterance, setting from corpus where utterance is not null)
+@_query(f"""with c as (select distinct utt_id, {_nfkc('utterance')} as utterance, setting from corpus where utterance is not null)
 select min(utt_id) as utt_id, utterance, min_by(case when setting in {T.SETTINGS!r} then setting else 'Unknown' end, utt_id) as setting from c group by utterance""")
 def normalize_dedup_keep_first(spark, d):
-    rows = _corpus(spark, d).where("utterance is not null").select("utt_id", T.squeeze("utterance").alias("utterance"), T.setting_of("setting").alias("setting"))
+    rows = _corpus(spark, d).where("utterance is not null").select("utt_id", T.nfkc("utterance").alias("utterance"), T.setting_of("setting").alias("setting"))
     return relate.keep_first(rows, ["utterance"], ["utt_id"]).select("utt_id", "utterance", "setting")
 
 
@@ -95,19 +107,19 @@ def leak_semi_join(spark, d):
     return relate.already_known(_negatives(spark, d).select("neg_id", "text"), _pairs(spark, d), key("text"), key("variant_text")).select("neg_id")
 
 
-@_query(f"""select distinct utt_id, len(regexp_extract_all(utterance, '[A-Za-z0-9_]+'))::int as n_words,
-(length({_st('utterance')}) < 20 or len(regexp_extract_all({_st('utterance')}, '[A-Za-z0-9_]+')) < 5) as is_fragment from corpus""")
+@_query(f"""select distinct utt_id, len(regexp_extract_all(utterance, '[\\p{{L}}\\p{{N}}_]+'))::int as n_words,
+(length({_st('utterance')}) < 20 or len(regexp_extract_all({_st('utterance')}, '[\\p{{L}}\\p{{N}}_]+')) < 5) as is_fragment from corpus""")
 def fragment_filter(spark, d):
     return _corpus(spark, d).select("utt_id", T.word_count("utterance").alias("n_words"), T.is_fragment("utterance").alias("is_fragment"))
 
 
 @_query(rf"""select neg_id, (case when {_st('text')} = '' then 0 else len(regexp_split_to_array({_st('text')}, '\s+')) end between 2 and 40)
-and (anchor_seed_term is null or contains({_padded('text')}, {_padded('anchor_seed_term')})) as ok from {_NEG}""")
+and (anchor_seed_term is null or {_has('text', 'anchor_seed_term')}) as ok from {_NEG}""")
 def structural_check(spark, d):
     return _negatives(spark, d).select("neg_id", T.well_formed("text", "anchor_seed_term").alias("ok"))
 
 
-@_query(f"select pair_id, {_canon('variant_text')} <> '' and {_canon('variant_text')} <> {_canon('anchor_text')} as differs from {_PAIRS}")
+@_query(f"select pair_id, {_plain('variant_text')} <> '' and {_plain('variant_text')} <> {_plain('anchor_text')} as differs from {_PAIRS}")
 def differs_from_anchor(spark, d):
     return _pairs(spark, d).select("pair_id", T.differs("variant_text", "anchor_text").alias("differs"))
 
@@ -185,7 +197,7 @@ rule as (select utt_id, label from cues join {_TERM} using (token)
     union select utt_id, cat.label from cues left join term2 t using (token) join idx using (token) join {_CATEGORY} on cat.category = idx.category where t.token is null
     union select utt_id, 'observation' from cues left join term2 t using (token) left join idx using (token) where t.token is null and (idx.token is null or idx.category is null)
     union select utt_id, 'content' from c where len(coalesce(tier3_cues, [])) > 0)"""
-_SCAN = f"""hits as (select c.utt_id, idx.* from c join idx on contains({_padded('c.utterance')}, ' ' || idx.token || ' ')),
+_SCAN = f"""hits as (select c.utt_id, idx.* from c join idx on {_has('c.utterance', 'idx.token')}),
 scan as (select utt_id, 'content' as label from hits where tier = 'TIER3' union select utt_id, t.label from hits join {_TERM.replace('as term(', 'as t(')} using (token) where tier is distinct from 'TIER3'
     union select utt_id, cat.label from hits left join term2 t using (token) join {_CATEGORY} on cat.category = hits.category where tier is distinct from 'TIER3' and t.token is null)"""
 _BASE = f"with c as (select distinct utt_id, utterance, tier2_cues, tier3_cues from corpus), {_SEEDS}, term2 as (select * from {_TERM})"
@@ -524,11 +536,10 @@ def parse_json_scores(spark, d):
     return load(spark, d, "events").select("event_id", k.alias("k"), S.clamp01(k / 100).alias("score"))
 
 
-@_query("""with r as (select event_id, 'Score: 0.' || (event_id % 10) || ' of 1' as t from events), x as (select event_id, regexp_extract(t, '(?:^|[^\\w.])([01](?:\\.\\d+)?|0?\\.\\d+)(?:[^\\w]|$)', 1) as s from r)
-select event_id, case when s <> '' then least(1.0, greatest(0.0, s::double)) end as gate from x""")
+@_query(r"""with x as (select distinct neg_id, regexp_extract(text, '(?:^|[^\w.])([01](?:\.\d+)?|0?\.\d+)(?:[^\w]|$)', 1) as s from negatives)
+select neg_id, case when s <> '' then least(1.0, greatest(0.0, s::double)) end as gate from x""")
 def parse_gate_numbers(spark, d):
-    t = F.concat(F.lit("Score: 0."), (F.col("event_id") % 10).cast("string"), F.lit(" of 1"))
-    return load(spark, d, "events").select("event_id", R.gate_response(t).alias("gate"))
+    return _negatives(spark, d).select("neg_id", R.gate_response(F.col("text")).alias("gate"))
 
 
 @_query("""select event_id, sha256('{"endpoint":"completion","model":"m","params":{"n":' || event_id || ',"t":"' || event_type || '"},"prompt_version":"v1"}') as cache_key from events""")
@@ -545,7 +556,7 @@ def cache_miss_anti(spark, d):
     return misses.agg(F.count_distinct("key").alias("n_misses"), F.count("*").alias("n_requests"))
 
 
-@_query("""with s as (select event_id, round(value, 4) as s, 10 as c from events), r as (select *, coalesce(sum(c) over (order by s desc, event_id rows between unbounded preceding and 1 preceding), 0) as before from s)
+@_query("""with s as (select event_id, value as s, 10 as c from events), r as (select *, coalesce(sum(c) over (order by s desc, event_id rows between unbounded preceding and 1 preceding), 0) as before from s)
 select event_id, before + 10 <= 50000 as taken from r""")
 def budgeted_running_sum(spark, d):
     out = budget.spend(load(spark, d, "events").select("event_id", "value"), F.col("value"), F.lit(10), "event_id", budget.max_calls(5.0, 0.0001))
@@ -562,15 +573,23 @@ def rolling_folder_budget(spark, d):
 _EVERYDAY = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in augment.EVERYDAY) + "]"
 
 
-@_query(f"""with c as (select distinct utt_id, regexp_replace(utterance, '[^ -~]', '', 'g') as u from corpus), g as (select unnest([1, 2]) as k)
-select utt_id, k::int as n, ({_EVERYDAY})[(list_sum(list_transform(string_split(u, ''), lambda x: ascii(x)))::bigint + k - 1) % 15 + 1] as text from c, g where u <> ''""")
+@_query(f"""with c as (select distinct utt_id, utterance as u from corpus), g as (select unnest([1, 2]) as k)
+select utt_id, k::int as n, ({_EVERYDAY})[(coalesce(list_sum(list_transform(list_filter(string_split(u, ''), lambda x: x <> ''), lambda x: unicode(x))), 0)::bigint + k - 1) % 15 + 1] as text from c, g where u is not null""")
 def stub_negatives(spark, d):
-    u = F.regexp_replace("utterance", "[^ -~]", "")
-    rows = _corpus(spark, d).select("utt_id", u.alias("u")).where("u <> ''").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    rows = _corpus(spark, d).select("utt_id", F.col("utterance").alias("u")).where("u is not null").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(2))))
     return rows.select("utt_id", "n", augment.stub_negative(F.col("u"), F.col("n")).alias("text"))
 
 
-@_query()
+_OPENER = "case r.register " + " ".join(f"when '{k}' then '{v}'" for k, v in augment.OPENERS.items()) + " end"
+
+
+@_query(f"""with c as (select distinct utt_id, utterance, {_st('setting')} as s, list_distinct(list_concat(coalesce(tier2_cues, []), coalesce(tier3_cues, []))) as cues from corpus),
+a as (select *, case s {" ".join(f"when '{k}' then '{v}'" for k, v in T.SETTING_REGISTER.items())} end as source_register from c), r as (select unnest({list(T.REGISTERS)!r}) as register),
+v as (select a.*, r.register, list_filter(list_sort(cues), lambda x: not contains(lower(utterance), lower(x))) as lacking, {_OPENER} as opener from a, r where source_register is null or source_register <> r.register),
+t as (select *, {_st("opener || ' ' || utterance || case when len(lacking) > 0 then ' (' || array_to_string(lacking, ', ') || ')' else '' end")} as variant_text from v),
+k as (select *, case when len(cues) = 0 then 1.0 else len(list_filter(cues, lambda x: contains(lower(variant_text), lower(x)))) / len(cues) end as pct from t)
+select utt_id as anchor_id, utterance as anchor_text, source_register, register, 1 as variant_no, variant_text, pct as preservation_pct, pct >= 0.8 as preservation_check_passed, true as differs_from_anchor
+from k where {_plain('variant_text')} <> '' and {_plain('variant_text')} <> {_plain('utterance')}""")
 def stub_variant_pairs(spark, d):
     """Generated variants of every anchor in its other registers."""
     return augment.variant_pairs(_corpus(spark, d), "utt_id", "utterance", "setting", "tier2_cues", "tier3_cues")
@@ -585,7 +604,7 @@ def mapinpandas_encoder(spark, d):
     return retrieval.scored_once(rows, "utterance", lambda t: hashed_vectors(t, "_text", 16)).select("utt_id", "vector")
 
 
-@_query()
+@_query(f"select distinct neg_id, {_nfkc('text')} as text, {_canon('text')} as canon from negatives")
 def normalize_nfkc(spark, d):
     """NFKC and case-folded forms, by Arrow."""
     return _negatives(spark, d).select("neg_id", T.nfkc("text").alias("text"), T.casefolded("text").alias("canon"))
@@ -602,3 +621,187 @@ def incremental_scoring_stream(spark, d):
     rows.repartition(4).write.parquet(source)
     incremental.run(spark, source, "id string, cosine_score double", out, fresh_path(spark, "stream-at"), dollars=1.0, files_per_batch=2)
     return spark.read.parquet(out).select("id", "cosine_score", "scored_by", "score", "predicted_label")
+
+
+# ---------------------------------------------------------------- query path, requests, bulk budget
+
+_LLM = "case when (r.query_id + r.id) % 7 = 0 then null else round((r.similarity + 1) / 2 - (r.id % 5) / 10, 3) end"
+
+
+@_query(f"""{_TOP}, c as (select r.*, {_LLM} as llm from r where rank <= 10 and query_id % 3 <> 0 union all select r.*, null from r where rank <= 10 and query_id % 3 = 0),
+p as (select *, row_number() over (partition by query_id order by coalesce(llm, -1.0) desc, similarity desc, id) as position from c)
+select query_id, coalesce(max(llm), max(similarity)) as score, case when max(llm) is null then case when max(similarity) >= 0.5 then 'SCIENCE_TALK' else 'NOT_SCIENCE_TALK' end when max(llm) >= 0.5 then 'SCIENCE_TALK' else 'NOT_SCIENCE_TALK' end as label,
+max(llm) is null as degraded, min_by(id, position) as best_id, count(*) as n_candidates from p group by query_id""")
+def classify_reranked(spark, d):
+    """Re-ranked classification; a third of the queries gets no answers and falls back to the similarity."""
+    c = retrieval.top_k(*_vectors(spark, d), 10)
+    llm = F.when((F.col("query_id") % 3 == 0) | ((F.col("query_id") + F.col("id")) % 7 == 0), None).otherwise(F.round((F.col("similarity") + 1) / 2 - (F.col("id") % 5) / 10, 3))
+    return pipeline.verdicts(retrieval.rerank_order(c.withColumn("llm_score", llm), "llm_score"), 0.5, 0.5)
+
+
+@_query(f"""{_TOP}, c as (select r.*, {_LLM} as llm, a.label = b.label as rel from r join embeddings a on a.vec_id = r.query_id join embeddings b on b.vec_id = r.id where rank <= 20),
+o as (select 'bi_encoder' as system, query_id, rank as k, rel from c union all select 'reranked', query_id, row_number() over (partition by query_id order by llm desc nulls last, id desc), rel from c),
+p as (select system, query_id, min(k) filter (rel) as f, count(*) filter (rel) as n, coalesce(sum(1 / log2(k + 1)) filter (rel and k <= 10), 0) as dcg from o group by all having count(*) filter (rel) > 0),
+i as (select *, list_sum(list_transform(range(1, least(n, 10) + 1), lambda k: 1 / log2(k + 1))) as ideal from p)
+select system, count(*) as n_queries, round(avg((f = 1)::int), 6) as precision_at_1, round(avg(case when f <= 10 then 1 / f else 0 end), 6) as mrr_at_k, round(avg(dcg / ideal), 6) as ndcg_at_k from i group by system""")
+def rerank_diagnostic(spark, d):
+    labels = load(spark, d, "embeddings").select("vec_id", "label")
+    r = retrieval.top_k(*_vectors(spark, d), 20).join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(labels.select(F.col("vec_id").alias("id"), F.col("label").alias("b")), "id")
+    llm = F.when((F.col("query_id") + F.col("id")) % 7 == 0, None).otherwise(F.round((F.col("similarity") + 1) / 2 - (F.col("id") % 5) / 10, 3))
+    out = evaluation.rerank_comparison(r.withColumn("relevant", F.col("a") == F.col("b")), llm)
+    return out.select("system", "n_queries", *[F.round(c, 6).alias(c) for c in ("precision_at_1", "mrr_at_k", "ndcg_at_k")])
+
+
+@_query("""with r as (select event_type, event_type || '|' || user_id as key from events), k as (select distinct event_type || '|' || user_id as key from events where value < 50),
+p as (select event_type, key, count(*) as n from r group by all)
+select event_type, (sum(n) - count(*) filter (k.key is null))::bigint as hits, count(*) filter (k.key is null) as misses, sum(n)::bigint as total from p left join k using (key) group by event_type""")
+def call_ledger(spark, d):
+    e = load(spark, d, "events").withColumn("key", F.concat_ws("|", "event_type", "user_id"))
+    return requests.ledger(e, "key", e.where("value < 50").select("key", F.lit("x").alias("response")), ["event_type"])
+
+
+@_query("""with e as (select event_id, event_type as folder, value, user_id % 4 = 0 as cached from events),
+d as (select folder, row_number() over (order by folder) as k, count(*) over () as n, m from (select folder, count(*) filter (not cached) as m from e group by folder)),
+f as (select 1 as k, folder, m, n, floor(0.02 / n / 0.0001)::bigint as allowed from d where k = 1), x as (with recursive w as (
+    select k, n, least(m, greatest(0, allowed) // 10) * 10 as spent, allowed, folder from f
+    union all select d.k, d.n, w.spent + least(d.m, greatest(0, floor(least(0.02::decimal(18, 9), d.k * 0.02::decimal(18, 9) / d.n) / 0.0001)::bigint - w.spent) // 10) * 10, floor(least(0.02::decimal(18, 9), d.k * 0.02::decimal(18, 9) / d.n) / 0.0001)::bigint - w.spent, d.folder
+    from w join d on d.k = w.k + 1) select folder, allowed from w),
+b as (select e.*, coalesce(sum(case when cached then 0 else 10 end) over (partition by folder order by value desc, event_id rows between unbounded preceding and 1 preceding), 0) as before from e)
+select event_id, b.folder, allowed, before + 10 <= allowed as taken from b join x using (folder)""")
+def deploy_rolling_budget(spark, d):
+    """Folder by folder: a cap of 200 calls, 10 a row, cached rows free, unused calls carried over."""
+    e = load(spark, d, "events").select("event_id", F.col("event_type").alias("folder"), "value", (F.col("user_id") % 4 == 0).alias("cached"))
+    return budget.spend_rolling(e, "folder", F.col("value"), F.col("cached"), "event_id", 10, 0.02, 0.0001).select("event_id", "folder", "allowed", "taken")
+
+
+@_query(f"""select neg_id, 'How sure is it, from 0 to 1, that this sentence is no science talk? Answer with a number.' || chr(10) || 'Sentence: ' || coalesce(text, '') as gate,
+'Write 2 classroom sentences that use the word ''' || coalesce(anchor_seed_term, '') || ''' in an everyday sense. It belongs to ' || coalesce(nullif(c.category, ''), 'none') || ': (no definition given). Answer as JSON with negatives.' as seed
+from {_NEG} n left join (select lower(term) as term, max(category) as category from seed_words group by 1) c on c.term = lower(n.anchor_seed_term)""")
+def prompt_texts(spark, d):
+    seeds = load(spark, d, "seed_words").groupBy(F.lower("term").alias("term")).agg(F.max("category").alias("category"))
+    n = _negatives(spark, d).withColumn("term", F.lower("anchor_seed_term")).join(seeds, "term", "left")
+    return n.select("neg_id", prompts.gate_prompt("text").alias("gate"), prompts.seed_prompt("anchor_seed_term", "category", F.lit(None).cast("string"), 2).alias("seed"))
+
+
+@_query(f"""with s as (select distinct utt_id, coalesce(nullif(array_to_string(list_sort(list_distinct(coalesce(subtype, []))), ', '), ''), 'none') as kinds, utterance, setting,
+coalesce(nullif(array_to_string(list_sort(list_distinct(list_concat(coalesce(tier2_cues, []), coalesce(tier3_cues, [])))), ', '), ''), 'none') as cues from corpus)
+select utt_id, 'Write 2 everyday classroom sentences that sound like the following one but are no science talk. Its kinds: ' || kinds || '. Answer as JSON with negatives.' || chr(10) || 'Sentence: ' || coalesce(utterance, '') as hard,
+'Say this 1 times in the register INFORMAL instead of ' || coalesce(nullif(setting, ''), 'unknown') || '. Keep these words: ' || cues || '. Kinds: ' || kinds || '. Answer as JSON with variants of text and self_score.' || chr(10) || 'Sentence: ' || coalesce(utterance, '') as variant from s""")
+def generation_prompts(spark, d):
+    c = _corpus(spark, d)
+    return c.select("utt_id", prompts.hard_negative_prompt("utterance", "subtype", 2).alias("hard"), prompts.register_prompt("utterance", F.lit("INFORMAL"), "setting", "subtype", "tier2_cues", "tier3_cues", 1).alias("variant"))
+
+
+# ---------------------------------------------------------------- evaluation inputs, audits, checks
+
+_S = f"(select distinct id, kind, case lower({_st('split')}) when 'validation' then 'val' else lower({_st('split')}) end as split from splits where split is not null)"
+_C = "(select distinct utt_id, utterance, setting, source, transcript_ref, subtype from corpus)"
+_PA = f"(select pair_id, {_ANCHOR} as anchor_id, variant_text, register from {_PAIRS} p)"
+
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    s = F.lower(T.strip("split"))
+    return load(spark, d, "splits").where("split is not null").select("id", "kind", F.when(s == "validation", "val").otherwise(s).alias("split"))
+
+
+def _anchored(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("pair_id", _anchor().alias("anchor_id"), "variant_text", "register")
+
+
+@_query(f"""with s as {_S}, p as (select pair_id as id, variant_text as phrase, anchor_id as gold_anchor from {_PA} x where variant_text is not null and pair_id in (select id from s where kind = 'pair' and split = 'test') order by md5('42|' || pair_id), pair_id limit 200),
+n as (select neg_id as id, text as phrase from {_NEG} x where neg_id in (select id from s where kind = 'negative' and split = 'test') order by md5('42|' || neg_id), neg_id limit 100)
+select id, phrase, 1 as label, gold_anchor, coalesce(nullif(array_to_string(list_sort(coalesce(c.subtype, [])), '|'), ''), 'unknown') as subtype from p left join {_C} c on c.utt_id = p.gold_anchor
+union all select id, phrase, 0, null, 'negative' from n""")
+def split_queries(spark, d):
+    return evaluation.split_queries(_corpus(spark, d), _anchored(spark, d), _negatives(spark, d), _splits(spark, d), "test", 200, 100)
+
+
+@_query(f"""with s as {_S}, q as (select pair_id, variant_text, anchor_id from {_PA} x where variant_text is not null and pair_id in (select id from s where kind = 'pair' and split = 'val') and anchor_id in (select utt_id from corpus)),
+n as (select neg_id, text from {_NEG} x where neg_id in (select id from s where kind = 'negative' and split = 'val') order by md5('17|' || neg_id), neg_id limit 1000)
+select 'query' as role, pair_id as id, variant_text as text, anchor_id as relevant from q union all select 'anchor', utt_id, utterance, null from {_C} c union all select 'distractor', neg_id, text, null from n""")
+def retrieval_inputs(spark, d):
+    return evaluation.retrieval_inputs(_corpus(spark, d), _anchored(spark, d), _negatives(spark, d), _splits(spark, d))
+
+
+@_query(f"""with s as {_S}, pos as (select pair_id as id, c.utterance as query, variant_text as candidate, anchor_id from {_PA} x join {_C} c on c.utt_id = x.anchor_id where c.utterance <> '' and variant_text is not null and pair_id in (select id from s where kind = 'pair' and split = 'val')),
+a as (select query, row_number() over (order by md5('42|' || id)) - 1 as slot, count(*) over () as n from pos),
+neg as (select neg_id, text, row_number() over (order by md5('42|' || neg_id)) - 1 as k from (select neg_id, text from {_NEG} x where neg_id in (select id from s where kind = 'negative' and split = 'val') order by md5('42|' || neg_id), neg_id limit 50))
+select * from (select id, query, candidate, 1 as label, anchor_id from pos order by md5('42|' || id), id limit 50) union all select neg_id, a.query, text, 0, null from neg join a on a.slot = neg.k % a.n""")
+def pair_audit(spark, d):
+    return evaluation.pair_audit(_corpus(spark, d), _anchored(spark, d), _negatives(spark, d), _splits(spark, d))
+
+
+_HELD = f"""a as (select distinct utt_id as id, setting from corpus), own as (select id from a where setting in {T.INFORMAL_SETTINGS!r}),
+o as (select id from a where setting not in {T.INFORMAL_SETTINGS!r} and id in (select {_ANCHOR} from {_PAIRS} p where register = 'INFORMAL') order by md5('17|' || id) limit 30),
+held as (select id, 'informal_positive' as slice_reason from own union all select id, 'informal_variant_family' from o),
+fam as (select held.id, 'positive' as kind, c.utterance as text, held.id as anchor_id, null::varchar as register, slice_reason from held join {_C} c on c.utt_id = held.id
+union all select pair_id, 'pair', variant_text, anchor_id, register, slice_reason from {_PA} x join held on held.id = x.anchor_id)"""
+
+
+def _held(spark: SparkSession, d: str) -> DataFrame:
+    held = family_holdout_slice(spark, d)
+    return evaluation.slice_families(_corpus(spark, d), _anchored(spark, d), held)
+
+
+@_query(f"with {_HELD} select slice_reason, kind, coalesce(register, case when kind is not null then '(none)' end) as register, count(*) as n from (select slice_reason, kind, coalesce(register, '(none)') as register from fam) group by grouping sets ((slice_reason), (slice_reason, kind, register))")
+def slice_summary(spark, d):
+    return evaluation.slice_summary(_held(spark, d))
+
+
+@_query(f"""with {_HELD} select id, text as phrase, 1 as label, anchor_id as gold_anchor, coalesce(nullif(array_to_string(list_sort(coalesce(c.subtype, [])), '|'), ''), 'unknown') as subtype from fam join {_C} c on c.utt_id = fam.anchor_id order by md5('42|' || id), id limit 100""")
+def slice_queries(spark, d):
+    subtypes = _corpus(spark, d).select(F.col("utt_id").alias("anchor_id"), "subtype")
+    return evaluation.slice_queries(_held(spark, d).join(subtypes, "anchor_id"), 100)
+
+
+@_query(f"""with x as (select 'gate' as system, llm_gate_score as score, structural_check_passed::int as label from {_NEG} n where llm_gate_score is not null union all select 'subtype', subtype_confidence, structural_check_passed::int from {_NEG} n where subtype_confidence is not null),
+c as (select system, case system when 'gate' then 0.5 else 0.8 end as threshold, score, label from x), g as (select system, threshold, count(*) as n, count(*) filter (label = 1 and score >= threshold) as tp, count(*) filter (label <> 1 and score >= threshold) as fp, count(*) filter (label = 1 and score < threshold) as fn from c group by all)
+select system, threshold::double as threshold, n, case when tp + fp > 0 then tp / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp / (tp + fn) else 0 end as recall, case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end as f1 from g""")
+def system_summary(spark, d):
+    n = _negatives(spark, d).withColumn("label", F.col("structural_check_passed").cast("int"))
+    rows = n.where("llm_gate_score is not null").select(F.lit("gate").alias("system"), F.col("llm_gate_score").alias("score"), "label").unionByName(n.where("subtype_confidence is not null").select(F.lit("subtype").alias("system"), F.col("subtype_confidence").alias("score"), "label"))
+    return evaluation.system_summary(rows, spark.createDataFrame([("gate", 0.5), ("subtype", 0.8)], "system string, threshold double"))
+
+
+@_query(f"""with n as (select * from {_NEG} x), k as (select count(*) as n, count(distinct neg_id) as ids, count(*) filter (text is null) as untexted, 3 - count(distinct source_type) filter (source_type in ('llm_hard_negative', 'seed_word_nonscience', 'transcript_clean')) as gone from n),
+t as (select count(*) as missing from (select unnest(['observation', 'prediction', 'causal_reasoning', 'evidence', 'content']) as label) where label not in (select unnest(subtype) from n)), p as (select count(distinct utt_id) as n from corpus)
+select 'rows' as "check", k.n as value, k.n >= 3 * p.n as ok from k, p union all select 'repeated_ids', n - ids, n = ids from k union all select 'missing_texts', untexted, untexted = 0 from k
+union all select 'missing_sources', gone, gone = 0 from k union all select 'missing_subtypes', missing, missing = 0 from t""")
+def negative_checks(spark, d):
+    n = _corpus(spark, d).count()
+    return evaluation.negative_checks(_negatives(spark, d), n, A.SUBTYPES[:5], ("llm_hard_negative", "seed_word_nonscience", "transcript_clean"))
+
+
+@_query(f"select utt_id, utterance, setting, source, transcript_ref, array_to_string(subtype, ', ') as current_subtype, null::varchar as decision, null::varchar as corrected_text, null::varchar as notes from {_C} c where list_contains(subtype, 'not_science_shape')")
+def not_science_review(spark, d):
+    return review.not_science(_corpus(spark, d))
+
+
+@_query(f"""with t as (select neg_id, {_canon('text')} as c from {_NEG} n), k as (select c, count(*) as n from t group by c), new as (select count(*) as n from k where c <> '' and c not in (select {_canon('utterance')} from corpus))
+select sum(k.n)::bigint as n_raw, coalesce(sum(k.n) filter (c <> ''), 0)::bigint as n_text, count(*) filter (c <> '') as n_distinct, count(*) filter (c <> '') - max(new.n) as n_known, max(new.n) as n_new from k, new""")
+def mined_totals(spark, d):
+    return evaluation.mined_totals(_negatives(spark, d), T.canon("text"), _corpus(spark, d), T.canon("utterance"))
+
+
+@_query(f"""with r as (select id, kind, routing, confidence, row_number() over (partition by kind, routing order by md5('42|' || id)) as k, count(distinct (kind, routing)) over () as s from {_CONF} x where routing is not null),
+d as (select * from r order by case when k <= greatest(1, floor(50 / greatest(1, s))) then 0 else 1 end, md5('42|' || id) limit 50),
+v as (select pair_id as id, 'pair' as kind, {_ANCHOR} as anchor_id, null as seed from {_PAIRS} p union all select neg_id, 'negative', anchor_utt_id, anchor_seed_term from {_NEG} n)
+select d.id, d.kind, routing, confidence, coalesce(c.utterance, v.seed, '<no anchor>') as anchor_text from d join v using (id, kind) left join {_C} c on c.utt_id = v.anchor_id""")
+def routing_audit_sample(spark, d):
+    p = _pairs(spark, d).select(F.col("pair_id").alias("id"), F.lit("pair").alias("kind"), F.col("variant_text").alias("text"), _anchor().alias("anchor_id"), F.lit(None).cast("string").alias("seed_term"))
+    n = _negatives(spark, d).select(F.col("neg_id").alias("id"), F.lit("negative").alias("kind"), "text", F.col("anchor_utt_id").alias("anchor_id"), F.col("anchor_seed_term").alias("seed_term"))
+    rows = p.unionByName(n).join(_confidences(spark, d), ["id", "kind"])
+    return review.routing_sample(rows, _corpus(spark, d)).select("id", "kind", "routing", "confidence", "anchor_text")
+
+
+@_query(f"""with x as (select c.routing, case l.decision when 'accept' then 'auto' when 'edit' then 'spot' else 'review' end as human_routing from {_CONF} c join (select id, s.decision as decision from {_LATEST} x) l using (id) where c.routing is not null)
+select routing, human_routing, count(*) as n from x group by all""")
+def routing_disagreements(spark, d):
+    j = _confidences(spark, d).join(_decisions(spark, d).select("id", "decision"), "id")
+    human = F.when(F.col("decision") == "accept", "auto").when(F.col("decision") == "edit", "spot").otherwise("review")
+    return review.disagreements(j.withColumn("human_routing", human))
+
+
+@_query(f"""select source_type, median(subtype_confidence) as median_confidence, avg(subtype_confidence) as mean_confidence, count(distinct transcript_ref) as n_refs from {_NEG} n group by source_type""")
+def confidence_summary(spark, d):
+    return _negatives(spark, d).groupBy("source_type").agg(F.median("subtype_confidence").alias("median_confidence"), F.avg("subtype_confidence").alias("mean_confidence"), F.count_distinct("transcript_ref").alias("n_refs"))

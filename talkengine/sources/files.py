@@ -80,4 +80,4 @@ def cached_responses(requests: DataFrame, key: str, cache: DataFrame, call, path
 
 def write_by_folder(df: DataFrame, path: str, folder: str, file: str, order: list[str]) -> None:
     """One directory per folder and source file, rows in the order given."""
-    df.repartition(folder, file).sortWithinPartitions(folder, file, *order).write.mode("overwrite").option("header", True).partitionBy(folder, file).csv(path)
+    df.repartition(folder, file).sortWithinPartitions(folder, file, *order).write.mode("append").option("header", True).partitionBy(folder, file).csv(path)

@@ -1,8 +1,9 @@
 """Incremental scoring of transcript files: a file stream, micro-batches, a budget that rolls on, exactly-once output.
 
 Each micro-batch is labelled by the batch plan of ``operators`` and written under its batch id, so a batch that is
-run again after a failure overwrites its own output. What is spent is read back from the outputs of other batches;
-there is no state outside the checkpoint and the output table.
+run again after a failure overwrites its own output. What a batch took is written as one row beside the output; the next
+batch adds these rows up, so its cost doesn't grow with what was scored before. There is no other state outside the
+checkpoint and the output table.
 """
 
 from __future__ import annotations
@@ -33,11 +34,14 @@ def run(spark: SparkSession, source: str, schema: str, output: str, checkpoint:
     """Scores all files under ``source`` that are new since the last run, then ends; (id, cosine_score, ...) in Parquet."""
     allowed = max_calls(dollars, cost)
 
+    ledger = output.rstrip("/") + "-ledger"
+
     def one(batch: DataFrame, number: int) -> None:
-        done = spark.read.schema("taken boolean, batch long").parquet(output).where(F.col("batch") != number) if _exists(spark, output) else None
-        spent = done.where("taken").count() * top_k if done is not None else 0
-        made = budgeted(batch, max(0, allowed - spent), top_k, llm)
-        made.write.mode("overwrite").parquet(f"{output}/batch={number}")
+        done = spark.read.schema("taken long, batch long").parquet(ledger).where(F.col("batch") != number) if _exists(spark, ledger) else None
+        spent = (done.agg(F.sum("taken")).first()[0] or 0) * top_k if done is not None else 0  # one row per batch
+        budgeted(batch, max(0, allowed - spent), top_k, llm).write.mode("overwrite").parquet(f"{output}/batch={number}")
+        made = spark.read.parquet(f"{output}/batch={number}").agg(F.count_if("taken").alias("taken"))
+        made.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkengine.functions import arrays as A, responses as R, scores as S, text as T
-from talkengine.operators import augment, budget, labelling, metrics, mining, relate, retrieval, review, sampling
-from talkengine.plans import catalogue, jobs, schemas
+from talkengine.operators import augment, budget, evaluation, labelling, metrics, mining, pipeline, prompts, relate, requests, retrieval, review, sampling
+from talkengine.plans import catalogue, ingest, jobs, reports, schemas
 from talkengine.sources import files, xlsx
 
 DATA = Path("/root/testdata/sf0.001")
@@ -30,7 +30,9 @@ def test_query_equals_sql(spark, name):
     df = catalogue.QUERIES[name](spark, str(DATA))
     rows = df.collect()
     if name not in catalogue.SQL:
-        assert len(rows) >= 0 and df.columns
+        ids = [r[df.columns[0]] for r in rows]  # one row per record of the table, none twice
+        table = {"mapinpandas_encoder": ("corpus", "utt_id"), "incremental_scoring_stream": ("pairs", "pair_id")}[name]
+        assert sorted(ids) == sorted(r[0] for r in spark.read.parquet(f"{DATA}/{table[0]}.parquet").select(table[1]).distinct().collect())
         return
     con = duckdb.connect()
     for f in DATA.glob("*.parquet"):
@@ -230,6 +232,23 @@ def _book(path):
         z.writestr("xl/worksheets/sheet2.xml", f'{head}<worksheet {ns}><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>')
 
 
+def _curated(path):
+    def row(n, cells):
+        return f'<row r="{n}">' + "".join(f'<c r="{chr(65 + k)}{n}" t="inlineStr"><is><t>{c}</t></is></c>' for k, c in enumerate(cells) if c is not None) + "</row>"
+
+    sheets = {
+        "Example utterances": [["Utterance", "Label", "Setting", "Source", "Tier2 cues", "Tier3 cues", "Notes", "Article citation"], ["Look at  the ice", "SCIENCE_TALK", "Centers / Ice", "curated", "look; see", None, "SCI-coded", None], ["Look at the ice", "SCIENCE_TALK", "Centers", "curated", None, None, None, None]],
+        "Seed words": [["Term", "Tier", "Category", "Variants (optional)", "Curriculum_source", "Source_URL"], [" ice ", "TIER3", "PROPERTIES_MATERIALS", "ices, icy", "g", None]],
+        "Category definitions": [["Label", "Type", "Definition (operational)", "Include if…", "Exclude if…", "Examples (teacher wording)"], ["content", "category", "what it is", None, None, None]],
+    }
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f"<workbook {ns}><sheets>" + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Target="worksheets/sheet{k}.xml"/>' for k in (1, 2, 3)) + "</Relationships>")
+        for k, rows in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f"<worksheet {ns}><sheetData>" + "".join(row(n, r) for n, r in enumerate(rows, 1)) + "</sheetData></worksheet>")
+
+
 def test_sources(spark, tmp_path):
     _book(tmp_path / "b.xlsx")
     spark.dataSource.register(xlsx.XlsxSource)
@@ -277,8 +296,9 @@ def test_jobs(spark, tmp_path):
     systems = {r["system"]: r for r in jobs.evaluate(spark, folder).collect()}
     assert set(systems) == {"cosine", "rerank"} and all(r["threshold"] is not None for r in systems.values())
     cells = spark.createDataFrame([("f1", "a.xlsx", 2, "look at the ice (90%)", "adult"), ("f1", "a.xlsx", 3, "sit down (10%)", "adult"), ("f2", "b.xlsx", 2, "look at the ice", "child")], "folder string, file string, line_no int, cell string, speaker string")
-    left = {r["folder"]: r["left"] for r in jobs.deploy(spark, folder, cells, str(tmp_path / "out")).collect()}
-    assert left["f1"] < 15 and left["f2"] < 15 and spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+    got = {r["folder"]: (r["rows"], r["allowed"], r["calls"]) for r in jobs.deploy(spark, folder, cells, str(tmp_path / "out")).collect()}
+    assert got == {"f1": (1, 75_000, 10), "f2": (1, 149_990, 10)} and (tmp_path / "out" / "_manifest.json").exists()
+    assert jobs.deploy(spark, folder, cells, str(tmp_path / "out")).count() == 0 and spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
 
 
 def test_best_match_by_blocks(spark):
@@ -295,3 +315,199 @@ def test_keyword_scan_finds_tokens_of_any_length(spark):
     index = spark.createDataFrame([("one two three four five", "TIER3", "x")], "token string, tier string, category string")
     df = spark.createDataFrame([("a", "We count: one two three four five!"), ("b", "one two three four")], "id string, text string")
     assert [(r["id"], r["labels"]) for r in labelling.keyword_labels(df, "id", "text", index).collect()] == [("a", ["content"])]
+
+
+# ---------------------------------------------------------------- text of any script, terms of any sign
+
+
+def test_text_of_any_script(spark):
+    assert values(spark, T.canon("x"), ["ﬁne  STRASSE", "fine Straße", "ｆｉｎｅ strasse", None]) == ["fine strasse"] * 3 + [""]
+    assert values(spark, T.word_count("x"), ["das Café ist näher", "a-b", None]) == [4, 2, None]
+    assert values(spark, T.has_term("x", F.lit("T-shirt")), ["my t-shirt!", "my t shirt", "at-shirts", None]) == [True, False, False, None]
+    assert values(spark, T.has_term("x", F.lit("caf")), ["a café", "a caf!"]) == [False, True] and values(spark, T.has_term("x", F.lit(r"a\E+")), [r"so a\E+ it"]) == [True]
+    assert values(spark, T.well_formed("x", F.lit("ice-cream")), ["the ice-cream melts", "the ice cream melts"]) == [True, False]
+
+
+def test_keyword_scan_of_signs_and_accents(spark):
+    index = spark.createDataFrame([("t-shirt", "TIER3", "x"), ("café", "TIER3", "x"), ("what  if", "TIER3", "x")], "token string, tier string, category string")
+    df = spark.createDataFrame([("a", "My T-shirt."), ("b", "my t shirt"), ("c", "CAFÉ!"), ("d", "caf"), ("e", "cafés"), ("f", "what if"), ("g", None)], "id string, text string")
+    assert {r["id"] for r in labelling.keyword_labels(df, "id", "text", index).collect()} == {"a", "c"}
+
+
+def test_sheet_names_are_unique(spark):
+    df = spark.createDataFrame([("w", "a" * 40 + "1"), ("w", "a" * 40 + "2"), ("w", "b[x]"), ("v", "a" * 40)], "book string, child string")
+    got = {(r["book"], r["child"]): r["sheet"] for r in T.unique_sheet_names(df, "child", ["book"]).collect()}
+    assert len(set(v for (b, _), v in got.items() if b == "w")) == 3 and all(len(v) <= 31 for v in got.values()) and got[("w", "b[x]")] == "bx"
+
+
+# ---------------------------------------------------------------- budget
+
+
+def test_budget_is_exact_and_spread(spark):
+    df = spark.createDataFrame([(f"r{k:03d}", 1.0 if k < 200 else 0.5 + k * 1e-7) for k in range(400)], "id string, s double")
+    out = budget.running_cost(df, F.col("s"), F.lit(2), "id", ranges=7).collect()
+    want = {i: 2 * k for k, (i, _) in enumerate(sorted(((r["id"], r["s"]) for r in out), key=lambda x: (-x[1], x[0])))}
+    assert {r["id"]: r["calls_before"] for r in out} == want
+    none = budget.spend(spark.createDataFrame([("a", None), ("b", 0.1)], "id string, s double"), F.col("s"), F.lit(1), "id", 1).collect()
+    assert {r["id"]: r["taken"] for r in none} == {"a": False, "b": True}
+
+
+def test_budget_carries_over(spark):
+    assert budget.carried_over([("a", 1), ("b", 100), ("c", 100)], 10, 0.006, 0.0001) == [("a", 20, 10), ("b", 30, 30), ("c", 20, 20)]
+    assert budget.carried_over([("a", 5), ("b", 9)], 10, 0.004, 0.0001, frozenset("a")) == [("b", 40, 40)]
+    df = spark.createDataFrame([("a", "a1", 0.9, False), ("b", "b1", 0.9, True), ("b", "b2", 0.8, False), ("b", "b3", 0.7, False), ("c", "c1", 0.1, True)], "f string, id string, s double, hit boolean")
+    got = {r["id"]: r["taken"] for r in budget.spend_rolling(df, "f", F.col("s"), F.col("hit"), "id", 10, 0.003, 0.0001).collect()}
+    assert got == {"a1": True, "b1": True, "b2": True, "b3": False, "c1": True}
+    assert {r["id"] for r in budget.spend_rolling(df, "f", F.col("s"), F.col("hit"), "id", 10, 0.003, 0.0001, frozenset("b")).collect()} == {"a1", "c1"}
+
+
+# ---------------------------------------------------------------- requests, query path
+
+
+def test_keys_and_kinds():
+    env = {"K": "a, b", "K_2": "b,c", "K_3": "", "K_5": "z"}
+    assert requests.api_keys("K", env) == ["a", "b", "c"] and requests.api_keys("X", env) == []
+    for body, kind in (("fine, no error or quota here", "ok"), ("", "transient"), (None, "transient"), ('{"error": {"code": 401}}', "quota_auth"), ('{"error": "busy"}', "transient"), ('{"choices": [{"message": {"content": "x"}}]}', "ok"), ('{"choices": []}', "transient")):
+        assert requests.kind_of(body) == kind
+
+
+def test_key_ring_rotates_and_repeats():
+    asked = []
+
+    def call(key, system, user):
+        asked.append(key)
+        if user == "boom":
+            raise OSError
+        return '{"error": "quota"}' if key == "a" else "" if user == "slow" and asked.count(key) < 3 else "yes"
+
+    ring = requests.KeyRing(["a", "b"], call)
+    assert ring.ask("s", "u") == ("yes", "ok", 2) and ring.ask("s", "u") == ("yes", "ok", 1)  # stays with b
+    assert ring.ask("s", "boom") == (None, "transient", 2)
+    assert requests.KeyRing(["a"], call).ask("s", "u") == (None, "exhausted", 1)
+
+
+def test_requests_ask_misses_once(spark, tmp_path):
+    df = spark.createDataFrame([("k1", "s", "u1"), ("k1", "s", "u1"), ("k2", "s", "u2"), ("k3", "s", "bad")], "key string, system string, user string")
+    cache = spark.createDataFrame([("k2", "old")], "key string, response string")
+    path = str(tmp_path / "cache")
+    rows = requests.answered(df, "key", cache, lambda k, s, u: "" if u == "bad" else f"{k}:{u}", ["a"], cache_path=path).collect()
+    got = {r["key"]: (r["response"], r["kind"], r["cached"], r["calls"]) for r in rows}
+    assert len(rows) == 4 and got == {"k1": ("a:u1", "ok", False, 1), "k2": ("old", "ok", True, 0), "k3": (None, "transient", False, 2)}
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("k1", "a:u1")]
+    led = requests.ledger(df, "key", cache).first()
+    assert (led["hits"], led["misses"], led["total"]) == (2, 2, 4)
+
+
+def test_pair_scores(spark):
+    df = spark.createDataFrame([("a", "b"), ("c", "d"), ("e", None)], "q string, c string")
+    call = lambda k, s, u: '{"score": 0.7, "rationale": "near"}' if "First: a" in u else "no idea" if "First: c" in u else ""
+    got = {r["q"]: (r["llm_score"], r["error"]) for r in requests.pair_scores(df, "q", "c", call, [], "sys").collect()}
+    assert got == {"a": (0.7, None), "c": (None, "no score"), "e": (None, "transient")}
+
+
+def test_query_pipeline(spark):
+    words = ("ice", "plant", "rock")
+
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[float(w in t) for w in words] for t in texts])
+
+    bank = spark.createDataFrame([("u1", [1.0, 0.0, 0.0], "the ice", ["content"]), ("u2", [0.0, 1.0, 0.0], "a plant", None)], "id string, v array<double>, utterance string, subtype array<string>")
+    asked = spark.createDataFrame([(1, "look at the ice"), (2, "sit down"), (3, "look at the ice")], "query_id int, phrase string")
+    plain = pipeline.QueryPipeline(bank, make)
+    got = {r["query_id"]: r for r in plain.classify(asked).collect()}
+    assert got[1]["label"] == got[3]["label"] == "SCIENCE_TALK" and got[1]["best_id"] == "u1" and got[1]["degraded"] and got[2]["label"] == "NOT_SCIENCE_TALK" and got[2]["score"] == 0
+    assert {(r["id"], r["subtype"]) for r in plain.retrieve(asked, 1).where("query_id = 1").collect()} == {("u1", "content")}
+    scorer = lambda c: c.withColumns({"llm_score": F.when(F.col("id") == "u2", 0.9), "rationale": F.lit(None).cast("string"), "error": F.lit(None).cast("string")})
+    again = {r["query_id"]: (r["score"], r["best_id"], r["degraded"]) for r in pipeline.QueryPipeline(bank, make, scorer).classify(asked).collect()}
+    assert again[1] == (0.9, "u2", False)
+    assert pipeline.QueryPipeline(bank.limit(0), make).classify(asked).first()["n_candidates"] == 0
+    with pytest.raises(ValueError):
+        pipeline.QueryPipeline(bank.drop("v"), make)
+
+
+@pytest.mark.parametrize("block,bank_block", [(7, 9), (1000, 11), (5, 1000)])
+def test_top_k_by_blocks_of_both_sides(spark, block, bank_block):
+    rows = [(k, [float(k % 5 == j) for j in range(5)]) for k in range(40)]  # many ties
+    bank = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in retrieval.top_k(bank, bank, 3, block, bank_block).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"]))
+    want = {q: [i for _, i in sorted((-float(q % 5 == i % 5), i) for i, _ in rows if i != q)[:3]] for q, _ in rows}
+    assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == want
+
+
+# ---------------------------------------------------------------- ingest, reviews, reports
+
+
+def test_curated_workbook(spark, tmp_path):
+    _curated(tmp_path / "c.xlsx")
+    out = jobs.ingest(spark, str(tmp_path), str(tmp_path / "c.xlsx"))
+    assert set(out) == {"corpus", "seed_words", "category_defs"}
+    corpus = {r["utt_id"]: r for r in spark.read.parquet(f"{tmp_path}/corpus.parquet").collect()}
+    assert corpus["utt_0000"]["utterance"] == "Look at the ice" and corpus["utt_0000"]["tier2_cues"] == ["look", "see"] and len(corpus) == 1
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/seed_words.parquet").select("term", "variants").collect()] == [("ice", ["ices", "icy"])]
+    assert spark.read.parquet(f"{tmp_path}/category_defs.parquet").first()["definition"] == "what it is"
+    with pytest.raises(ValueError):
+        ingest.sheet(ingest.workbook(spark, str(tmp_path / "c.xlsx")), "Seed words", {"x": "Nowhere"})
+
+
+def test_mined_rows_are_added_once(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([("utt_sci_0003", "We saw the ice melt in the sun today", "SCIENCE_TALK")], "utt_id string, utterance string, label string").transform(lambda d: schemas.conformed(d, "corpus")).write.parquet(f"{folder}/corpus.parquet")
+    spark.createDataFrame([("ice", "TIER3", "PROPERTIES_MATERIALS", [], "g", None)], schemas.TABLES["seed_words"]).write.parquet(f"{folder}/seed_words.parquet")
+    turns = spark.createDataFrame([("1LG", 2, "T1:", "WE SAW the ice  melt in the sun today", "SCI"), ("1LG", 3, "T1:", "Why does the ice float on the water here?", "SCI"), ("1LG", 4, "C1:", "Why does the ice float in the cup now?", "SCI"), ("1LG", 5, "T", "short one", "SCI")], "sheet string, row_no int, speaker string, utterance string, code string")
+    assert jobs.merge_mined(spark, folder, turns, dry_run=True)["added"] == 0
+    assert jobs.merge_mined(spark, folder, turns)["added"] == 1 and jobs.merge_mined(spark, folder, turns)["added"] == 0
+    got = {r["utt_id"]: r for r in spark.read.parquet(f"{folder}/corpus.parquet").collect()}
+    assert set(got) == {"utt_sci_0003", "utt_sci_0004"} and got["utt_sci_0004"]["setting"] == "Large Group" and got["utt_sci_0004"]["subtype"] == ["content"]
+
+
+def test_reviews_of_negatives_and_corpus(spark, tmp_path):
+    folder = str(tmp_path)
+    schemas.conformed(spark.createDataFrame([("n1", "a", False), ("n2", "b", False), ("n3", "c", False)], "neg_id string, text string, human_verified boolean"), "negatives").write.parquet(f"{folder}/negatives.parquet")
+    labels = spark.createDataFrame([("n1", "possible_leak"), ("n2", "unclear"), ("n9", "UNCLEAR"), ("n3", " ")], "neg_id string, human_label string")
+    assert jobs.review_negatives(spark, folder, labels) == {"before": 3, "after": 2, "missing": 1}
+    assert {r["neg_id"]: (r["human_verified"], r["human_label"]) for r in spark.read.parquet(f"{folder}/negatives.parquet").collect()} == {"n2": (True, "UNCLEAR"), "n3": (False, None)}
+    with pytest.raises(ValueError):
+        jobs.review_negatives(spark, folder, spark.createDataFrame([("n2", "what")], "neg_id string, human_label string"))
+    schemas.conformed(spark.createDataFrame([("u1", "x"), ("u2", "y"), ("u3", "z")], "utt_id string, utterance string"), "corpus").write.parquet(f"{folder}/corpus.parquet")
+    schemas.conformed(spark.createDataFrame([("p1", "u1"), ("p2", "u2"), ("p3", "u3")], "pair_id string, anchor_id string"), "pairs").write.parquet(f"{folder}/pairs.parquet")
+    decisions = spark.createDataFrame([("u1", "Drop", None), ("u2", "edit", "new"), ("u3", None, None)], "utt_id string, decision string, corrected_text string")
+    assert jobs.review_corpus(spark, folder, decisions) == {"corpus_before": 3, "corpus_after": 2, "pairs_before": 3, "pairs_after": 1}
+    assert {r["utt_id"]: r["utterance"] for r in spark.read.parquet(f"{folder}/corpus.parquet").collect()} == {"u2": "new", "u3": "z"}
+    with pytest.raises(ValueError):
+        jobs.review_corpus(spark, folder, spark.createDataFrame([("u2", "edit", " ")], "utt_id string, decision string, corrected_text string"))
+
+
+def test_audit_round_trip(spark):
+    audit = spark.createDataFrame([("a", "pair", "auto", " Auto "), ("b", "pair", "spot", "review"), ("c", "negative", None, "auto"), ("d", "pair", "auto", None)], "id string, kind string, routing string, human_routing string").withColumn("confidence", F.lit(0.1))
+    now = review.refreshed(audit, spark.createDataFrame([("a", "auto", 0.9), ("b", "review", 0.1), ("c", "spot", 0.2)], "id string, routing string, confidence double"))
+    got = {(r["kind"], r["routing"]): (r["n"], round(r["agreement"], 3), r["met"]) for r in review.audit_result(now).collect()}
+    assert got[(None, None)] == (3, 0.667, False) and got[("pair", None)] == (2, 1.0, True) and got[(None, "spot")] == (1, 0.0, False)
+    assert {tuple(r) for r in review.disagreements(now).collect()} == {("auto", "auto", 1), ("review", "review", 1), ("spot", "auto", 1)}
+    assert review.ordered_columns(audit, ["id"], ["routing", "none"], ["human_routing"], ["confidence"]).columns == ["id", "routing", "human_routing", "confidence", "kind"]
+    assert review.template(audit, ["kind"], "id", ["note"], 2).count() == 2
+
+
+def test_folders_and_reports(spark, tmp_path):
+    assert ingest.folders(["b", "a", "x1", "x1_updated"], every=True, doubled="x1") == ["a", "b", "x1_updated"] and ingest.folders([], ["q"]) == ["q"]
+    with pytest.raises(ValueError):
+        ingest.folders(["a"])
+    assert [reports.number(v) for v in (None, 1234, 0.5, True, "x")] == ["n/a", "1,234", "0.500", "yes", "x"]
+    text = reports.markdown(spark.createDataFrame([("a|b", 1.0)], "n string, v double"), "T")
+    assert "a\\|b | 1.000" in text and reports.gates({"x": 0.9}, {"x": 0.8, "y": 0.1}) == [("x", 0.9, 0.8, True), ("y", None, 0.1, False)]
+    reports.write_text(spark, f"{tmp_path}/r.md", text)
+    assert (tmp_path / "r.md").read_text() == text
+
+
+def test_category_definitions(spark):
+    rows = [("b", "Category", "two"), ("a", "category label", None), ("z", "note", "x")]
+    df = spark.createDataFrame(rows, "label string, type string, definition string")
+    assert prompts.definitions(df).first()[0] == "- a: \n- b: two" and prompts.definitions(df.where("label = 'z'")).first()[0] == "- z: x"
+
+
+def test_stability(spark):
+    df = spark.createDataFrame([(k / 10, k / 9, -k / 3) for k in range(8)], "a double, b double, c double")
+    assert evaluation.stability(df, "a", "b").first()["stable"] and not evaluation.stability(df, "a", "c").first()["stable"]
