@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.arrays import joined_subtypes
 from .metrics import confusion, ranking_metrics, spearman
 from .relate import net_new
-from .sampling import order_key, round_robin
+from .sampling import order_key, ranked, round_robin
 
 
 def ids_of(splits: DataFrame, kind: str, split: str) -> DataFrame:
@@ -54,6 +54,21 @@ def slice_summary(rows: DataFrame) -> DataFrame:
     return sets.agg(F.count("*").alias("n"))
 
 
+def training_triples(pairs: DataFrame, corpus: DataFrame, hard: DataFrame, seed: int = 17) -> DataFrame:
+    """(pair_id, anchor_id, query, positive, hard_negative): the anchor's hard negatives (neg_id, anchor_id, text) are dealt
+    in turn to its pairs (pair_id, anchor_id, query), both in seeded order; an anchor without any gives null."""
+    h = ranked(hard, ["anchor_id"], order_key(seed, "neg_id"), "_turn", "_n").select("anchor_id", "_turn", F.col("text").alias("hard_negative"))
+    n = h.groupBy("anchor_id").agg(F.max("_turn").alias("_n"))
+    p = ranked(pairs, ["anchor_id"], order_key(seed, "pair_id"), "_k", "_size").join(n, "anchor_id", "left").withColumn("_turn", (F.col("_k") - 1) % F.col("_n") + 1)
+    return p.join(corpus, "anchor_id").join(h, ["anchor_id", "_turn"], "left").select("pair_id", "anchor_id", "query", "positive", "hard_negative")
+
+
+def training_examples(triples: DataFrame, query_prefix: str = "search_query: ", document_prefix: str = "search_document: ") -> DataFrame:
+    """(pair_id, texts): query and positive, and the hard negative where there is one, with the encoder's prefixes."""
+    doc = lambda c: F.concat(F.lit(document_prefix), F.col(c))
+    return triples.select("pair_id", F.array_compact(F.array(F.concat(F.lit(query_prefix), "query"), doc("positive"), doc("hard_negative"))).alias("texts"))
+
+
 def retrieval_inputs(corpus: DataFrame, pairs: DataFrame, negatives: DataFrame, splits: DataFrame, split: str = "val", distractors: int = 1000, seed: int = 17) -> DataFrame:
     """(role, id, text, relevant): queries with the anchor that answers them, anchors, and negatives as distractors.
 

@@ -1,13 +1,15 @@
 """Metrics as aggregates: confusion, AUROC, rank correlation, ranking metrics, threshold tuning, agreement, crosstabs.
 
-AUROC and Spearman need ranks over all rows. They come from counts per distinct score: the scores are rounded to
-``digits`` places, so the running sum is over distinct values and never over rows.
+AUROC and Spearman need ranks over all rows. They come from counts per distinct score, summed up range by range, so
+no task sees all of them, whatever the scores are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .relate import cumulative
+
 
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
@@ -21,28 +23,25 @@ def confusion(df: DataFrame, truth: Column, predicted: Column, by: list[str] | N
     return out.withColumns({"precision": share(tp, tp + fp), "recall": share(tp, tp + fn), "f1": share(2 * tp, 2 * tp + fp + fn)})
 
 
-def auroc(df: DataFrame, truth: Column, score: Column, digits: int = 6) -> DataFrame:
+def auroc(df: DataFrame, truth: Column, score: Column) -> DataFrame:
     """One row (n_pos, n_neg, auroc): Mann-Whitney with mid-ranks for ties; null if one class is missing."""
-    by = df.where(score.isNotNull() & truth.isNotNull()).groupBy(F.round(score, digits).alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("n"))
-    below = F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1))  # distinct scores only
-    wins = by.withColumn("w", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("n") / 2))
+    by = df.where(score.isNotNull() & truth.isNotNull()).groupBy(score.alias("s")).agg(F.count_if(truth).alias("p"), F.count_if(~truth).alias("n"))
+    wins = cumulative(by, "s", "n", "upto").withColumn("w", F.col("p") * (F.col("upto") - F.col("n") / 2))
     total = wins.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_neg"), F.sum("w").alias("w"))
     return total.select("n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("w") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"))
 
 
-def mid_ranks(df: DataFrame, column: str, out: str, digits: int = 6) -> DataFrame:
+def mid_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the average 1-based rank of each value."""
-    v = F.round(F.col(column), digits)
-    by = df.groupBy(v.alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(W.orderBy("_v"))  # distinct values only
-    ranks = by.select("_v", (upto - (F.col("_c") - 1) / 2).alias(out))
-    return df.withColumn("_v", v).join(ranks, "_v").drop("_v")
+    by = df.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
+    ranks = cumulative(by, "_v", "_c", "_upto").select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
+    return df.join(ranks, F.col(column) == F.col("_v")).drop("_v")
 
 
-def spearman(df: DataFrame, x: str, y: str, digits: int = 6) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, spearman): Pearson of mid-ranks; null for fewer than two rows or no variance."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    r = mid_ranks(mid_ranks(both, x, "_rx", digits), y, "_ry", digits)
+    r = mid_ranks(mid_ranks(both, x, "_rx"), y, "_ry")
     s = r.agg(F.count("*").alias("n"), F.covar_pop("_rx", "_ry").alias("c"), F.stddev_pop("_rx").alias("a"), F.stddev_pop("_ry").alias("b"))
     return s.select("n", F.when((F.col("n") > 1) & (F.col("a") > 0) & (F.col("b") > 0), F.try_divide(F.col("c"), F.col("a") * F.col("b"))).alias("spearman"))
 

@@ -35,11 +35,16 @@ def teacher_positives(rows: DataFrame, speaker: str, text: str, code: str) -> Da
     return rows.where(T.is_teacher(speaker) & T.is_science_code(code) & (F.coalesce(T.strip(text), F.lit("")) != ""))
 
 
-def without_tokens(rows: DataFrame, text: str, tokens: DataFrame, token: str) -> DataFrame:
-    """Rows whose text holds none of the tokens as a substring; the vocabulary is one aggregated array of bounded size."""
-    words = tokens.agg(F.collect_set(F.lower(token)).alias("_tokens"))
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    return rows.crossJoin(F.broadcast(words)).where(~F.exists("_tokens", lambda t: low.contains(t))).drop("_tokens")  # one row
+def without_tokens(rows: DataFrame, text: str, tokens: DataFrame, token: str, chunk: int = 20_000) -> DataFrame:
+    """Rows whose text holds none of the tokens as a substring; the vocabulary travels as arrays of about ``chunk`` tokens,
+    one more pass over the rows in the same stage for each."""
+    words = tokens.where(F.coalesce(F.col(token), F.lit("")) != "").select(F.lower(token).alias("_t")).distinct()
+    chunks = max(1, -(-words.count() // chunk))
+    out = rows.withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    for n in range(chunks):
+        some = words.where(F.pmod(F.xxhash64("_t"), F.lit(chunks)) == n).agg(F.collect_list("_t").alias("_tokens"))  # one row
+        out = out.crossJoin(F.broadcast(some)).where(~F.exists("_tokens", lambda t: F.col("_low").contains(t))).drop("_tokens")
+    return out.drop("_low")
 
 
 def capped(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:

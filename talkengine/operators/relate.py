@@ -71,6 +71,18 @@ def numbered(df: DataFrame, order: list[str], name: str, pattern: str, start: in
     return ranks.join(F.broadcast(shift), "_b").withColumn(name, F.format_string(pattern, at)).drop("_b", "_n", "_before")
 
 
+def cumulative(df: DataFrame, order: str, value: str, out: str, ranges: int = 64) -> DataFrame:
+    """Adds the sum of ``value`` up to each row in the order of a column without ties: sums per range give each range its
+    offset, the rest is summed within ranges, so no task sees all rows."""
+    from pyspark.sql import Window as W
+
+    r = written(df.repartitionByRange(ranges, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = r.groupBy("_p").agg(F.sum(value).alias("_n"))  # one row per range
+    before = sums.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(value).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return r.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + within).drop("_p", "_before")
+
+
 def last_wins(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """A lookup table in which later rows overwrite earlier ones."""
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))

@@ -123,3 +123,56 @@ def pair_scores(pairs: DataFrame, query: str, candidate: str, call: Caller, keys
 
 def user_message(query: F.Column, candidate: F.Column) -> F.Column:
     return F.concat(F.lit("First: "), F.coalesce(query, F.lit("")), F.lit("\nSecond: "), F.coalesce(candidate, F.lit("")), F.lit("\nHow alike are they?"))
+
+
+# ---------------------------------------------------------------- callers over HTTP
+
+
+def completion(url: str, model: str, temperature: float = 0.0, max_tokens: int = 200, timeout: float = 180.0) -> Caller:
+    """A caller of a chat-completion endpoint; the body comes back as it is, errors of the endpoint included."""
+    if not url:
+        raise ValueError("no address of an endpoint")
+
+    def call(key: str, system: str, user: str) -> str:
+        import json
+        import urllib.error
+        import urllib.request
+
+        messages = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": user}]
+        body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}).encode()
+        ask = urllib.request.Request(url, body, {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        try:
+            with urllib.request.urlopen(ask, timeout=timeout) as answer:
+                return answer.read().decode()
+        except urllib.error.HTTPError as e:
+            return json.dumps({"error": f"{e.code} {e.read().decode(errors='replace')}"})
+
+    return call
+
+
+def reachable(call: Caller, keys: list[str]) -> str:
+    """The kind of the answer to one short request: a health check of endpoint and keys."""
+    return KeyRing(keys, call, 0).ask("", "Say ok.")[1]
+
+
+def text_of(body: str | None) -> str:
+    """The text of a body: its first choice, else the body itself."""
+    import json
+
+    try:
+        return json.loads(body or "")["choices"][0]["message"]["content"] or ""
+    except (ValueError, KeyError, IndexError, TypeError):
+        return body or ""
+
+
+def subtype_model(call: Caller, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A model for ``labelling.cascade``: asks for the sub-types of each distinct text; no answer gives the sentinel, 0."""
+    from .augment import generated
+    from .prompts import subtype_prompt
+
+    def model(rest: DataFrame) -> DataFrame:
+        rows = generated(rest.withColumn("_p", subtype_prompt("text")), "_p", lambda p: text_of(KeyRing(keys, call).ask("", p)[0]))
+        labels, sure = R.subtype_response(F.col("response"))
+        return rows.select("id", labels.alias("subtype"), sure.alias("subtype_confidence"))
+
+    return model

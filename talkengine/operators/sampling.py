@@ -27,7 +27,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 
 def ranked(df: DataFrame, stratum: list[str], key: Column, rank: str = "_rank", size: str = "_size") -> DataFrame:
     """Adds the 1-based rank of each row by ``key`` within its stratum and the stratum's size, bucket by bucket."""
-    rows = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 2))  # 256 buckets
+    rows = df.withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))  # 4096 buckets of each stratum
     counts = rows.groupBy(*stratum, "_bucket").agg(F.count("*").alias("_n"))
     all_ = W.partitionBy(*stratum)
     shift = counts.select(*stratum, "_bucket", (F.sum("_n").over(all_.orderBy("_bucket")) - F.col("_n")).alias("_before"), F.sum("_n").over(all_).alias(size))

@@ -510,9 +510,10 @@ def round_robin_audit_pairs(spark, d):
 
 
 _TRIPLES = f"""with s as (select id, max(case lower({_st('split')}) when 'validation' then 'val' else lower({_st('split')}) end) as split from splits where split is not null group by id),
-h as (select anchor_utt_id as anchor, min_by(text, md5('17|' || neg_id)) as hard_negative from {_NEG} n join s on s.id = n.neg_id where s.split = 'train' and source_type = 'llm_hard_negative' group by 1)
-select pair_id, c.utt_id as anchor_id, variant_text as query, c.utterance as positive, h.hard_negative from {_PAIRS} p join s on s.id = p.pair_id join (select distinct utt_id, utterance from corpus) c on c.utt_id = {_ANCHOR}
-left join h on h.anchor = c.utt_id where s.split = 'train' and {_st("coalesce(variant_text, '')")} <> ''"""
+h as (select anchor_utt_id as anchor, text as hard_negative, row_number() over (partition by anchor_utt_id order by md5('17|' || neg_id)) as turn, count(*) over (partition by anchor_utt_id) as n
+from {_NEG} n join s on s.id = n.neg_id where s.split = 'train' and source_type = 'llm_hard_negative'),
+q as (select pair_id, {_ANCHOR} as anchor_id, variant_text as query, row_number() over (partition by {_ANCHOR} order by md5('17|' || pair_id)) as k from {_PAIRS} p join s on s.id = p.pair_id where s.split = 'train' and {_st("coalesce(variant_text, '')")} <> '')
+select pair_id, anchor_id, query, c.utterance as positive, h.hard_negative from q join (select distinct utt_id, utterance from corpus) c on c.utt_id = q.anchor_id left join h on h.anchor = q.anchor_id and h.turn = (q.k - 1) % h.n + 1"""
 
 
 @_query(_TRIPLES)
@@ -520,11 +521,10 @@ def hard_negative_triples(spark, d):
     s = F.lower(T.strip("split"))
     splits = load(spark, d, "splits").where("split is not null").groupBy("id").agg(F.max(F.when(s == "validation", "val").otherwise(s)).alias("split")).where("split = 'train'").select("id")
     hard = _negatives(spark, d).where("source_type = 'llm_hard_negative'").join(splits, F.col("neg_id") == F.col("id"), "left_semi")
-    hard = hard.groupBy(F.col("anchor_utt_id").alias("anchor_id")).agg(F.min_by("text", sampling.order_key(17, "neg_id")).alias("hard_negative"))
     p = _pairs(spark, d).select("pair_id", _anchor().alias("anchor_id"), F.col("variant_text").alias("query")).join(splits, F.col("pair_id") == F.col("id"), "left_semi")
     p = p.where(F.coalesce(T.strip("query"), F.lit("")) != "")
     c = _corpus(spark, d).select(F.col("utt_id").alias("anchor_id"), F.col("utterance").alias("positive"))
-    return p.join(c, "anchor_id").join(hard, "anchor_id", "left").select("pair_id", "anchor_id", "query", "positive", "hard_negative")
+    return evaluation.training_triples(p, c, hard.select("neg_id", F.col("anchor_utt_id").alias("anchor_id"), "text"))
 
 
 # ---------------------------------------------------------------- responses, cache, budget, generators

@@ -511,3 +511,31 @@ def test_category_definitions(spark):
 def test_stability(spark):
     df = spark.createDataFrame([(k / 10, k / 9, -k / 3) for k in range(8)], "a double, b double, c double")
     assert evaluation.stability(df, "a", "b").first()["stable"] and not evaluation.stability(df, "a", "c").first()["stable"]
+
+
+def test_triples_deal_all_hard_negatives(spark):
+    pairs_ = spark.createDataFrame([(f"p{k}", "u1", f"q{k}") for k in range(5)] + [("x", "u2", "q"), ("y", "u9", "q")], "pair_id string, anchor_id string, query string")
+    corpus = spark.createDataFrame([("u1", "one"), ("u2", "two")], "anchor_id string, positive string")
+    hard = spark.createDataFrame([("n1", "u1", "h1"), ("n2", "u1", "h2"), ("n3", "u1", "h3")], "neg_id string, anchor_id string, text string")
+    rows = evaluation.training_triples(pairs_, corpus, hard)
+    got = {r["pair_id"]: r["hard_negative"] for r in rows.collect()}
+    assert len(got) == 6 and got["x"] is None and sorted(v for k, v in got.items() if k != "x").count("h1") in (1, 2) and {v for v in got.values() if v} == {"h1", "h2", "h3"}
+    texts = {r["pair_id"]: r["texts"] for r in evaluation.training_examples(rows).collect()}
+    assert texts["x"] == ["search_query: q", "search_document: two"] and len(texts["p0"]) == 3
+
+
+def test_subtype_model_and_health(spark):
+    call = lambda k, s, u: '{"choices": [{"message": {"content": "{\\"subtypes\\": [\\"content\\"], \\"confidence\\": 0.8}"}}]}' if "ice" in u else ""
+    df = spark.createDataFrame([("a", "the ice"), ("b", "sit")], "id string, text string")
+    assert {r["id"]: (r["subtype"], r["subtype_confidence"]) for r in requests.subtype_model(call, [])(df).collect()} == {"a": (["content"], 0.8), "b": (["not_science_shape"], 0.0)}
+    assert requests.reachable(lambda k, s, u: "ok", ["a"]) == "ok" and requests.reachable(lambda k, s, u: '{"error": "expired"}', ["a"]) == "exhausted"
+    assert requests.text_of("plain") == "plain" and requests.text_of(None) == ""
+    with pytest.raises(ValueError):
+        requests.completion("", "m")
+
+
+def test_without_tokens_by_chunks(spark):
+    rows = spark.createDataFrame([("the Icebox",), ("nothing",), (None,), ("a plant",)], "t string")
+    tokens = spark.createDataFrame([("ice",), ("plant",), ("",), (None,)], "w string")
+    for chunk in (1, 100):
+        assert sorted((r["t"] or "") for r in mining.without_tokens(rows, "t", tokens, "w", chunk).collect()) == ["", "nothing"]
