@@ -26,6 +26,8 @@ from ..plans.runtime import written
 from .words import _GAP, normal
 
 CAPACITY = 200_000
+#: Prefixes of buckets to split are broadcast up to this many, beyond it joined by shuffle.
+BROADCAST_PREFIXES = 1_000_000
 _SEPARATOR = re.compile(r"[|;]")
 _CHUNK = 8
 
@@ -85,7 +87,8 @@ def oversized_prefixes(records: DataFrame, capacity: int = CAPACITY) -> set[tupl
             return found
         found |= {(g, length, p) for g, p in level}
         keep = records.sparkSession.createDataFrame([(g, bytearray(p)) for g, p in level], "grp string, prefix binary")
-        rest = records.withColumn("prefix", prefix).join(F.broadcast(keep), ["grp", "prefix"], "left_semi").select("grp", "canon")
+        keep = F.broadcast(keep) if len(level) <= BROADCAST_PREFIXES else keep
+        rest = records.withColumn("prefix", prefix).join(keep, ["grp", "prefix"], "left_semi").select("grp", "canon")
         length = longer(length)
 
 
@@ -151,8 +154,7 @@ def counted(records: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(grp, canon, n_copies, kept_id): one row per distinct record with its number of copies."""
     split = oversized_prefixes(records, capacity)
     parts = records.mapInPandas(_partial_counts(split), "grp string, bucket binary, canon binary, n long, least string")
-    dealt = parts.repartition("grp", "bucket") if split else parts.repartition("grp", F.substring("canon", 1, 24))
-    ordered = dealt.sortWithinPartitions("grp", "bucket")
+    ordered = parts.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket")  # a group that fits is one bucket
     return ordered.mapInPandas(_trie_counts, "grp string, canon binary, n_copies long, kept_id string")
 
 

@@ -42,17 +42,28 @@ def _anchor(c: str) -> F.Column:
     return F.when(trimmed != "", trimmed)
 
 
+def _family_edges(spark: SparkSession, d: str) -> DataFrame:
+    """(a, b): each pair with the anchor that it names."""
+    pairs = load(spark, d, "pairs").select(F.col("pair_id").alias("id"), _anchor("anchor_id").alias("anchor")).where("id is not null")
+    return pairs.select(F.concat(F.lit("p:"), "id").alias("a"), F.concat(F.lit("a:"), "anchor").alias("b"))
+
+
 def _family_labels(spark: SparkSession, d: str) -> DataFrame:
-    """(node, root, anchor, id): records and anchors with the root of their family."""
+    """(node, id, root): records and anchors with the root of their family."""
     utterances = load(spark, d, "corpus").select(F.col("utt_id").alias("id")).where("id is not null").distinct()
-    pairs = load(spark, d, "pairs").select(F.col("pair_id").alias("id"), _anchor("anchor_id").alias("anchor")).where("id is not null").distinct()
-    _, labels = families.spanning_forest(pairs.select(F.concat(F.lit("p:"), "id").alias("a"), F.concat(F.lit("a:"), "anchor").alias("b")))
-    records = utterances.select(F.concat(F.lit("a:"), _anchor("id")).alias("node"), "id").union(pairs.select(F.concat(F.lit("p:"), "id"), "id"))
-    anchors = pairs.where("anchor is not null").select(F.concat(F.lit("a:"), "anchor").alias("node")).distinct()
+    edges = _family_edges(spark, d).distinct()
+    _, labels = families.spanning_forest(edges)
+    records = utterances.select(F.concat(F.lit("a:"), _anchor("id")).alias("node"), "id").union(edges.select("a", F.substring("a", 3, 1_000_000)))
+    anchors = edges.where("b is not null").select(F.col("b").alias("node")).distinct()
     nodes = records.join(anchors, "node", "full_outer").select("node", "id")
     return nodes.join(labels, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
 
 
+def p3_forest(spark: SparkSession, d: str) -> DataFrame:
+    """(a, b): the spanning forest of the families, from which new records can be contracted without the old edges."""
+    return families.spanning_forest(_family_edges(spark, d))[0]
+
+
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "splits").select("id", overlaps.split_name(F.col("split")).alias("split")).where("id is not null").groupBy("id").agg(F.max("split").alias("split"))
 
@@ -183,7 +194,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_coverage, p3_found, p3_assignment, p4_found, p4_groups, p5_found, p5_redacted, p5_surrogates, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares, p9_found, p9_scores)
+    f.__name__: f for f in (p1_found, p1_records, p2_found, p2_coverage, p3_found, p3_assignment, p3_forest, p4_found, p4_groups, p5_found, p5_redacted, p5_surrogates, p6_found, p6_report, p7_containers, p7_fill, p7_tiers, p8_uses, p8_shares, p9_found, p9_scores)
 }
 SQL: dict[str, str] = {
     "p3_found": r"""with f as (select distinct lower(regexp_replace(utt_id, '^\s+|\s+$', '', 'g')) as anchor_id, utt_id as id from corpus

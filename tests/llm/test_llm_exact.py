@@ -317,3 +317,18 @@ def test_meetings_are_all_pairs_of_a_node():
     at = np.cumsum([0, *sizes])
     want = {(a, b) for k in range(len(sizes)) for a, b in itertools.combinations(range(at[k], at[k + 1]), 2)}
     assert len(got) == len(want) and {tuple(sorted(x)) for x in got} == want
+
+
+def test_a_kept_forest_stands_for_its_edges(spark):
+    r = random.Random(8)
+    edges = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(90)]
+    forest, labels = families.spanning_forest(spark.createDataFrame(edges, "a string, b string"))
+    kept = [tuple(x) for x in forest.select("a", "b").collect()]
+    of = lambda es: {frozenset(c) for c in components(es)}
+    assert of(kept) == of([e for e in edges if e[0] != e[1]]) and len(kept) == labels.count() - labels.select("root").distinct().count()
+    more = [("n0", "x"), ("x", "n1")]
+    again = families.spanning_forest(spark.createDataFrame(kept + more, "a string, b string"))[1]
+    by = {}
+    for x in again.collect():
+        by.setdefault(x["root"], set()).add(x["node"])
+    assert {frozenset(v) for v in by.values()} == of([e for e in edges if e[0] != e[1]] + more)
