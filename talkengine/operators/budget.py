@@ -14,20 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..plans.runtime import written
 from .sampling import join_null_safe
 
-RANGES = 256
-
-
 def max_calls(dollars: float, cost: float) -> int:
     """floor(dollars / cost) in decimals: 0.3 / 0.0001 is 3000."""
     return int(Decimal(str(dollars)) // Decimal(str(cost)))
 
 
-def running_cost(rows: DataFrame, score: Column, calls: Column, id_: str, by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
+def running_cost(rows: DataFrame, score: Column, calls: Column, id_: str, by: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """Adds ``calls_before``: the calls of the rows with a higher score (ties: a smaller id), of the same ``by`` if given.
-    Null scores come last."""
+    Null scores come last. The number of ranges is the session's number of shuffle partitions, unless given."""
     by = by or []
     order = [*by, F.col("_s").desc_nulls_last(), id_]
-    r = rows.withColumns({"_s": score, "_c": calls.cast("long")}).repartitionByRange(ranges, *order)
+    r = rows.withColumns({"_s": score, "_c": calls.cast("long")}).repartitionByRange(*([ranges] if ranges else []), *order)
     r = written(r.withColumn("_p", F.spark_partition_id()), "ranges")
     sums = r.groupBy(*by, "_p").agg(F.sum("_c").alias("_n"))  # a row per range and folder in it
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -55,10 +55,10 @@ def next_number(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.agg((F.coalesce(F.max(n), F.lit(-1)) + 1).alias("next"))
 
 
-def numbered(df: DataFrame, order: list[str], name: str, pattern: str, start: int = 0, buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, pattern: str, start: int = 0, buckets: int | None = None) -> DataFrame:
     """Consecutive ids in the order given, without gathering all rows in one task: range buckets, counts, ranks within."""
     spark = df.sparkSession
-    rows = df.repartitionByRange(buckets, *order).sortWithinPartitions(*order)
+    rows = df.repartitionByRange(*([buckets] if buckets else []), *order).sortWithinPartitions(*order)
     # the low 33 bits of this id count the rows of a partition, the high ones are the partition
     ranks = written(rows.withColumn("_i", F.monotonically_increasing_id()).withColumns({"_b": F.shiftright("_i", 33).cast("int"), "_n": F.col("_i").bitwiseAND(F.lit(2**33 - 1))}).drop("_i"), "numbered")
     counts = {r["_b"]: r["n"] for r in ranks.groupBy("_b").agg(F.count("*").alias("n")).collect()}  # one row per bucket
@@ -71,12 +71,12 @@ def numbered(df: DataFrame, order: list[str], name: str, pattern: str, start: in
     return ranks.join(F.broadcast(shift), "_b").withColumn(name, F.format_string(pattern, at)).drop("_b", "_n", "_before")
 
 
-def cumulative(df: DataFrame, order: str, value: str, out: str, ranges: int = 64) -> DataFrame:
+def cumulative(df: DataFrame, order: str, value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Adds the sum of ``value`` up to each row in the order of a column without ties: sums per range give each range its
     offset, the rest is summed within ranges, so no task sees all rows."""
     from pyspark.sql import Window as W
 
-    r = written(df.repartitionByRange(ranges, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    r = written(df.repartitionByRange(*([ranges] if ranges else []), order).withColumn("_p", F.spark_partition_id()), "ranges")
     sums = r.groupBy("_p").agg(F.sum(value).alias("_n"))  # one row per range
     before = sums.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = F.sum(value).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
