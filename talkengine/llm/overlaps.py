@@ -1,5 +1,8 @@
 """Records of evaluation splits that also stand, equally or almost, in the training split.
 
+Evaluation splits of more than ``shard_words`` words meet the training texts in the groups of their rarest words, see
+``meetings``; the rest of this text is about smaller ones, of one shard.
+
 The distinct texts of the evaluation splits are dealt to shards of bounded size; each shard becomes a compressed
 full-text index (suffix array, Burrows-Wheeler symbol lists, zstd) in the shared folder. Texts are laid out in one
 canonical order of their distinct words, rarest first, so texts that hold the same words in another order match too.
@@ -15,7 +18,7 @@ dealt to shards and the blocks don't change the result. Texts with equal folded
 
 Scale: a shard holds at most ``shard_words`` words, however large the evaluation splits are, and a block as many
 words of training texts, so a shard is opened once for about as much work as it holds; memory is one block and one
-shard. Work grows with training words times shards. Copies are indexed once, searched once per block and expanded at
+shard. Work grows with training words times shards, so only one shard is searched this way. Copies are indexed once, searched once per block and expanded at
 the end. Only (shard, size) rows come to the driver, which makes sure that it sees every shard file; a task that does
 not find one fails.
 
@@ -42,6 +45,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import fresh_path, qualified, written
+from .meetings import candidates
+from .nearest import BROADCAST_ROWS
 from .words import WordHashes, parity_sketch, words
 
 
@@ -297,6 +302,15 @@ class Block:
         return np.fromiter((index.ids.get(w, -1) for w in self.words), np.int64, len(self.words))
 
 
+def _judged(mine: list, theirs: list, n: int, m: int, same: bool, search: Search) -> tuple[int, int, float] | None:
+    """(matched words, spans, similarity) of texts of n and m distinct words, if they are similar or their folded texts the same."""
+    both = len(set(mine).intersection(theirs))
+    similarity = both / (n + m - both)
+    if similarity >= search.threshold - 1e-12 or same:
+        return *((len(mine), 1) if same else _matched(mine, theirs, search.short)), similarity
+    return None
+
+
 def _match_block(index: Index, block: Block, search: Search) -> list[tuple]:
     known = block.known(index)
     sym = known[block.once]
@@ -322,12 +336,9 @@ def _match_block(index: Index, block: Block, search: Search) -> list[tuple]:
     for code in np.unique(np.concatenate(pairs)).tolist():
         x, y = divmod(code, index.size)
         mine, theirs = known[block.codes[block.bounds[x] : block.bounds[x + 1]]].tolist(), index.words[index.bounds[y] : index.bounds[y + 1]].tolist()
-        both = len(set(mine).intersection(theirs))
-        similarity = both / (int(block.n[x]) + int(index.sizes[y]) - both)
-        same = block.fold[x] == index.parts["fold"][y]
-        if similarity >= search.threshold - 1e-12 or same:
-            matched, spans = (len(mine), 1) if same else _matched(mine, theirs, search.short)
-            out.append((int(block.h[x]), int(block.g[x]), int(index.parts["h"][y]), int(index.parts["g"][y]), matched, spans, similarity))
+        judged = _judged(mine, theirs, int(block.n[x]), int(index.sizes[y]), block.fold[x] == index.parts["fold"][y], search)
+        if judged:
+            out.append((int(block.h[x]), int(block.g[x]), int(index.parts["h"][y]), int(index.parts["g"][y]), *judged))
     return out
 
 
@@ -363,6 +374,34 @@ def _stream(folder: str, shards: list[int], search: Search):
     return run
 
 
+def _verified(search: Search):
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for th, tg, h, g, n, m, same, v, w in zip(*(b[c].tolist() for c in ("th", "tg", "h", "g", "n", "m", "same", "v", "w"))):
+                judged = _judged(v.split(" "), w.split(" "), n, m, same, search)
+                if judged:
+                    rows.append((th, tg, h, g, *judged))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FOUND.split(", ")]).astype({c: "int64" for c in ("th", "tg", "h", "g")})
+
+    return run
+
+
+def _by_words(evaluation: DataFrame, train: DataFrame, search: Search) -> DataFrame:
+    """The matches of (h, g, fold, sketch, n, words), from the groups of their rarest words."""
+    pairs = written(candidates(evaluation, train, search.threshold, search.min_words, max(1, search.shard_words // 8), search.hits), "candidates")
+    few = pairs.count() <= BROADCAST_ROWS
+
+    def ends(texts: DataFrame, c: str) -> DataFrame:
+        sketches = pairs.select(F.col(c).alias("sketch")).distinct()
+        return texts.join(F.broadcast(sketches) if few else sketches, "sketch", "left_semi").dropDuplicates(["h", "g"])
+
+    left = ends(train, "ts").select(F.col("sketch").alias("ts"), F.col("h").alias("th"), F.col("g").alias("tg"), F.col("fold").alias("a"), "n", F.col("words").alias("v"))
+    right = ends(evaluation, "es").select(F.col("sketch").alias("es"), "h", "g", F.col("fold").alias("b"), F.col("n").alias("m"), F.col("words").alias("w"))
+    both = pairs.join(left, "ts").join(right, "es").select("th", "tg", "h", "g", "n", "m", (F.col("a") == F.col("b")).alias("same"), "v", "w")
+    return both.mapInPandas(_verified(search), _FOUND)
+
+
 @dataclass
 class Overlaps:
     records: DataFrame  #: (id, source, split, h, g) of all that take part; h and g name the class of equal texts
@@ -375,9 +414,12 @@ def search(records: DataFrame, how: Search = Search()) -> Overlaps:
     kept = written(tokenised(rows, how.min_words), "tokens")
     held = kept.where("split <> 'train'")
     distinct = held.groupBy("h", "g", "fold").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "words")])
-    folder, shards = build_index(distinct, how)
     train = kept.where("split = 'train'").select("h", "g", "fold", "sketch", "n", "words")
-    found = train.mapInPandas(_stream(folder, shards, how), _FOUND).dropDuplicates(["th", "tg", "h", "g"])  # a class may be in several blocks
+    if (held.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0) > how.shard_words:
+        found = _by_words(written(distinct, "evaluation"), train, how)
+    else:
+        folder, shards = build_index(distinct, how)
+        found = train.mapInPandas(_stream(folder, shards, how), _FOUND).dropDuplicates(["th", "tg", "h", "g"])  # a class may be in several blocks
     return Overlaps(kept.select("id", "source", "split", "h", "g"), written(found, "matches"))
 
 
