@@ -46,7 +46,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..plans.runtime import fresh_path, qualified, written
 from .meetings import candidates
-from .nearest import BROADCAST_ROWS
 from .words import WordHashes, parity_sketch, words
 
 
@@ -342,6 +341,8 @@ def _match_block(index: Index, block: Block, search: Search) -> list[tuple]:
     return out
 
 
+#: The table of bits that tells which texts are in a pair has 2 ** _BITS of them, in rows of 64, however many pairs there are.
+_BITS = 27
 _FOUND = "th long, tg long, h long, g long, matched_words int, spans int, similarity double"
 
 
@@ -390,11 +391,14 @@ def _verified(search: Search):
 def _by_words(evaluation: DataFrame, train: DataFrame, search: Search) -> DataFrame:
     """The matches of (h, g, fold, sketch, n, words), from the groups of their rarest words."""
     pairs = written(candidates(evaluation, train, search.threshold, search.min_words, max(1, search.shard_words // 8), search.hits), "candidates")
-    few = pairs.count() <= BROADCAST_ROWS
+    spot = F.xxhash64("sketch").bitwiseAND(F.lit((1 << _BITS) - 1))
+    bit = F.expr("shiftleft(1L, cast(xxhash64(sketch) & 63 as int))")
 
     def ends(texts: DataFrame, c: str) -> DataFrame:
-        sketches = pairs.select(F.col(c).alias("sketch")).distinct()
-        return texts.join(F.broadcast(sketches) if few else sketches, "sketch", "left_semi").dropDuplicates(["h", "g"])
+        """The texts that may be in a pair, by a broadcast table of bits, so that no others move."""
+        bits = pairs.select(F.col(c).alias("sketch")).groupBy(F.shiftright(spot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+        some = texts.withColumn("word", F.shiftright(spot, 6)).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+        return some.drop("word", "bits").dropDuplicates(["h", "g"])
 
     left = ends(train, "ts").select(F.col("sketch").alias("ts"), F.col("h").alias("th"), F.col("g").alias("tg"), F.col("fold").alias("a"), "n", F.col("words").alias("v"))
     right = ends(evaluation, "es").select(F.col("sketch").alias("es"), "h", "g", F.col("fold").alias("b"), F.col("n").alias("m"), F.col("words").alias("w"))
@@ -412,6 +416,7 @@ def search(records: DataFrame, how: Search = Search()) -> Overlaps:
     """The overlapping classes of records (id, source, split, text) whose split is train, val or test."""
     rows = records.where("id is not null and text is not null and split in ('train', 'val', 'test')").dropDuplicates(["id"])
     kept = written(tokenised(rows, how.min_words), "tokens")
+    kept.sparkSession.sparkContext._jvm.System.gc()  # else the shuffle files behind it stay until the driver happens to collect garbage
     held = kept.where("split <> 'train'")
     distinct = held.groupBy("h", "g", "fold").agg(*[F.first(c).alias(c) for c in ("sketch", "n", "words")])
     train = kept.where("split = 'train'").select("h", "g", "fold", "sketch", "n", "words")
